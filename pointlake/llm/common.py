@@ -48,13 +48,18 @@ def arrow_map(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
     schema: str,
+    slice_rows: int = 512,
 ) -> DataFrame:
-    """``mapInArrow`` with per-task state: ``make`` runs once in each task."""
+    """``mapInArrow`` with per-task state: ``make`` runs once in each task.
+
+    Batches are worked on ``slice_rows`` rows at a time, so what a step makes of
+    long texts stays small.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                yield step(batch)
+            for at in range(0, batch.num_rows, slice_rows):
+                yield step(batch.slice(at, slice_rows))
 
     return df.mapInArrow(run, schema)
