@@ -27,6 +27,7 @@ from pathlib import Path
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -37,7 +38,19 @@ END = ""
 #: Characters that Python calls white space and the tokenizer's pattern does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
-_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[!-/:-@\[-`{-~]+")
+#: The file's own word pattern, for text below U+0250, where composing changes nothing.
+_PLAIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_PLAIN_BELOW = "\u0250"
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte, keyed by the byte's Latin-1 code point."""
+    shown = [b for b in range(256) if chr(b).isprintable() and chr(b) != " "]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
 
 
 class BpeModel:
@@ -143,12 +156,13 @@ class BpeModel:
         return tuple(out[::-1])
 
     def _pieces(self, chunk: str) -> list[str]:
-        if chunk.isascii() and chunk.isprintable():
-            return _PLAIN.findall(chunk.lower())
+        if chunk.isprintable() and max(chunk) < _PLAIN_BELOW:
+            words = _PLAIN.findall(chunk.lower())
+            return words if chunk.isascii() else [w.encode().decode("latin-1").translate(_LETTERS) for w in words]
         normal = self.tokenizer.normalizer.normalize_str(chunk) if self.tokenizer.normalizer else chunk
         return [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
 
-    def encode_chunk(self, chunk: str, room: int = 300_000) -> tuple[int, ...]:
+    def encode_chunk(self, chunk: str, room: int = 200_000) -> tuple[int, ...]:
         """Ids of a run of text without white space."""
         spans = self._special_split.split(chunk) if self._special_split and "<|" in chunk else [chunk]
         out: list[int] = []
@@ -165,7 +179,7 @@ class BpeModel:
                     out += ids
         return tuple(out)
 
-    def encode(self, text: str, room: int = 300_000) -> list[int]:
+    def encode(self, text: str, room: int = 200_000) -> list[int]:
         """Ids of a whole text. Words seen before in this process come from bounded caches."""
         split = _SPACES.split(text) if _SEPARATORS.search(text) else text.split()
         known, out = self.chunks, []
@@ -174,10 +188,8 @@ class BpeModel:
             if ids is None:
                 if not chunk:
                     continue
-                if len(known) >= room:
-                    known.clear()
                 ids = self.encode_chunk(chunk, room)
-                if len(chunk) <= 64:
+                if len(known) < room and len(chunk) <= 64:
                     known[chunk] = ids
             out.append(ids)
         return list(chain.from_iterable(out))

@@ -51,6 +51,12 @@ def test_every_token_text(model, library):
             assert model.encode(word) == library.encode(word, add_special_tokens=False).ids
 
 
+def test_every_latin_character(model, library):
+    for c in map(chr, range(0x300)):
+        text = f"a{c}B{c}{c} {c}9"
+        assert model.encode(text) == library.encode(text, add_special_tokens=False).ids, hex(ord(c))
+
+
 def test_query_rows(spark, library):
     import hashlib
 
