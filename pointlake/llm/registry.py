@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointlake.llm import simhash
+from pointlake.llm import bpe, langid, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_simhash_dedup": simhash.op5_simhash_dedup}
+    return {
+        "op3_language_id": langid.op3_language_id,
+        "op4_bpe": bpe.op4_bpe,
+        "op5_simhash_dedup": simhash.op5_simhash_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
