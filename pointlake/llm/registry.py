@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointlake.llm import bpe, decontam, langid, simhash
+from pointlake.llm import bpe, decontam, langid, quality_rules, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontam.op1_decontamination,
+        "op2_quality_rules": quality_rules.op2_quality_rules,
         "op3_language_id": langid.op3_language_id,
         "op4_bpe": bpe.op4_bpe,
         "op5_simhash_dedup": simhash.op5_simhash_dedup,
