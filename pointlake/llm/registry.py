@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointlake.llm import bpe, decontam, langid, licenses, lm_score, pii, quality_rules, simhash, token_rollup
+from pointlake.llm import bpe, decontam, langid, licenses, lm_score, pii, pu_quality, quality_rules, simhash, token_rollup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash_dedup": simhash.op5_simhash_dedup,
         "op6_pii": pii.op6_pii,
         "op7_token_counts": token_rollup.op7_token_counts,
+        "op8_quality_classifier": pu_quality.op8_quality_classifier,
         "op9_lm_scoring": lm_score.op9_lm_scoring,
         "op10_license_scan": licenses.op10_license_scan,
     }
