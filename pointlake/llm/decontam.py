@@ -221,10 +221,14 @@ def leaking_pairs(
     return out.withColumnRenamed("id", id_col)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the documents that leak an item; rows with a null id are matched as one."""
-    leaks = leaking_pairs(docs, benchmark, threshold=threshold).select(F.col("doc_id").alias("leaking_id")).distinct()
-    return docs.join(leaks, docs.doc_id.eqNullSafe(leaks.leaking_id), "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that leak an item. Rows are told apart by id and text."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    key = F.xxhash64(F.col(id_col), F.col(text_col)).alias("key")
+    keyed = docs.select(key, F.col(text_col).alias("text"))
+    leaks = leaking_pairs(keyed, benchmark, "key", "text", **options).select("key").distinct()
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], key)
+    return rows.join(leaks, "key", "left_anti").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
