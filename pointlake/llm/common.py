@@ -34,6 +34,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
+    """``df``, marked for broadcast only if its known number of (narrow) rows is within ``limit``."""
+    return F.broadcast(df) if rows <= limit else df
+
+
 def doc_fold(id_col: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus`` (null id: null)."""
     return F.crc32(F.col(id_col).cast("string")) % F.lit(modulus)

@@ -6,6 +6,9 @@ population counts differ by more than the radius are skipped. Two
 fingerprints within radius r agree on at least one of r + 1 bit bands, so
 tiles are dealt to tasks by band value without losing a pair.
 
+``near_duplicates`` links by fingerprint alone; ``near_duplicate_texts`` takes
+fingerprints within a wider radius as candidates and verifies them by shingles.
+
 Edge cases: null or empty text, or text without a word, has fingerprint zero
 and links like any other. Repeated rows keep their own result row. A null id
 never becomes a component id unless its whole component has none. Extra input
@@ -23,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointlake.llm.common import arrow_map, as_bytes, cut, table
+from pointlake.llm.common import arrow_map, as_bytes, bounded, cut, table
 from pointlake.llm.graph import connected_components
 
 BITS = 64
@@ -48,19 +51,26 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp): ``fp`` is the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, with_text: bool = False) -> DataFrame:
+    """(id, fp): ``fp`` is the fingerprint's bits as a signed long.
+
+    With ``with_text`` also (node, size): the text's hash and its length in characters.
+    """
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            prints = [fingerprint(t, shingle) for t in as_bytes(batch.column(1))]
-            signed = np.array(prints, np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed)], names=["id", "fp"])
+            prints = [fingerprint(t, shingle) for t in as_bytes(batch.column("text"))]
+            signed = pa.array(np.array(prints, np.uint64).view(np.int64))
+            own = [batch.column(name) for name in ("node", "size") if with_text]
+            return pa.RecordBatch.from_arrays([batch.column("id"), signed, *own], names=["id", "fp", "node", "size"][: 2 + len(own)])
 
         return step
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return arrow_map(slim, make, "id long, fp long")
+    if not with_text:
+        return arrow_map(slim, make, "id long, fp long")
+    slim = slim.withColumns({"node": F.xxhash64("text"), "size": F.char_length("text").cast("long")})
+    return arrow_map(slim, make, "id long, fp long, node long, size long")
 
 
 def _merge(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -167,43 +177,39 @@ def _bucket_edges(radius: int, short: int = 64):
     return run
 
 
-def link_edges(prints: DataFrame, radius: int = 3, piece_rows: int = 32768) -> DataFrame:
+def link_edges(prints: DataFrame, radius: int = 3, bands: int | None = None, flips: int = 0, piece_rows: int = 32768) -> DataFrame:
     """Edges (a, b) that connect distinct fingerprints ``fp`` exactly as all links do.
 
-    Each fingerprint is dealt to one bucket for each of radius + 1 bit bands. A bucket of
-    more than ``piece_rows`` rows is split into pieces, and every pair of its pieces is
-    dealt to a task of its own, so no task ever holds more than two pieces.
+    Each fingerprint is dealt to one bucket for each bit band and, with ``flips`` = 1, to
+    those of all values one bit away. Two fingerprints within the radius then share a
+    bucket if radius < bands * (2 * flips + 1), as some band differs in so few bits that
+    flips on either side make up for it. A bucket of more than ``piece_rows`` rows is split
+    into pieces, and every pair of its pieces is dealt to a task of its own, so no task
+    ever holds more than two pieces.
     """
-    bands = radius + 1
+    bands = bands or radius + 1
+    if flips not in (0, 1) or radius >= bands * (2 * flips + 1):
+        raise ValueError("these bands and flips would miss links")
     edges = [round(k * BITS / bands) for k in range(bands + 1)]
-    cuts = [
-        F.struct(
-            F.lit(k).alias("band"),
-            F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("value"),
-        )
-        for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))
-    ]
-    dealt = prints.select("fp", F.explode(F.array(*cuts)).alias("c")).select("fp", "c.band", "c.value")
-    pieces = (
-        dealt.groupBy("band", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-        .withColumn("pieces", F.ceil(F.col("n") / F.lit(piece_rows)).cast("long"))
-        .drop("n")
-    )
-    mine = F.pmod(F.xxhash64("fp"), F.col("pieces"))
-    spread = (
-        dealt.join(pieces, ["band", "value"])
-        .withColumn("mine", mine)
-        .select("fp", "band", "value", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("other"))
-        .select(
-            F.xxhash64("band", "value", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"),
-            "fp",
-        )
-    )
-    sorted_rows = (
-        spread.repartition("bucket").select("bucket", "fp").sortWithinPartitions("bucket", F.bit_count("fp"))
-    )
+    cuts = []
+    for band, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+        value = F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
+        values = [value, *(value.bitwiseXOR(F.lit(1 << k)) for k in range(hi - lo) if flips)]
+        cuts += [v.bitwiseOR(F.lit(band << 40)) for v in values]
+    dealt = prints.select("fp", F.explode(F.array(*cuts)).alias("value"))
+    large = cut(dealt.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > piece_rows))
+    found = large.count()
+    if found:
+        pieces = large.select("value", F.ceil(F.col("n") / F.lit(piece_rows)).cast("long").alias("pieces"))
+        split = dealt.join(bounded(pieces, found), "value", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+        mine = F.pmod(F.xxhash64("fp"), F.col("pieces"))
+        others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))
+        pairs = split.withColumn("mine", mine).select("fp", "value", "mine", others.alias("other"))
+        bucket = F.xxhash64("value", F.least("mine", "other"), F.greatest("mine", "other"))
+        spread = pairs.select(bucket.alias("bucket"), "fp")
+    else:
+        spread = dealt.select(F.xxhash64("value").alias("bucket"), "fp")
+    sorted_rows = spread.repartition("bucket").sortWithinPartitions("bucket", F.bit_count("fp"))
     return sorted_rows.mapInArrow(_bucket_edges(radius), "a long, b long")
 
 
@@ -222,7 +228,7 @@ def near_duplicates(
     """
     rows = cut(fingerprints(docs, id_col, text_col, shingle))
     distinct = rows.groupBy("fp").agg(F.min("id").alias("first_id"))
-    stars = connected_components(link_edges(distinct.select("fp"), radius, piece_rows))
+    stars = connected_components(link_edges(distinct.select("fp"), radius, piece_rows=piece_rows))
     joined = stars.join(distinct, stars.node == distinct.fp).select("node", "root", "first_id")
     least = joined.groupBy("root").agg(F.min("first_id").alias("least_id"))
     linked = joined.join(least, "root").select(F.col("node").alias("fp"), "least_id")
@@ -236,5 +242,141 @@ def near_duplicates(
     )
 
 
+def shingle_hashes(text: bytes, words: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the text's word shingles; of a shorter text, of all its words."""
+    split = text.lower().split()
+    if not split:
+        return np.empty(0, np.int64)
+    grams = [b" ".join(split)] if len(split) < words else map(b" ".join, zip(*(split[k:] for k in range(words)), strict=False))
+    return np.unique(np.fromiter(map(_hash, grams), np.uint64).view(np.int64))
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is at least ``least``; empty sets are equal."""
+    small, large = sorted((len(a), len(b)))
+    if small < least * large:
+        return False
+    if not large:
+        return True
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= least * (small + large - common)
+
+
+def verified_links(prints: np.ndarray, sets: list[np.ndarray], radius: int, least: float, tile: int = 512) -> list[tuple[int, int]]:
+    """Links that connect positions exactly as all pairs do that are near and similar.
+
+    Pairs that verified links already connect are not compared again.
+    """
+    root = list(range(len(prints)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i in range(0, len(prints), tile):
+        for j in range(i, len(prints), tile):
+            near = np.bitwise_count(prints[i : i + tile, None] ^ prints[None, j : j + tile]) <= radius
+            for x, y in zip(*np.nonzero(near), strict=True):
+                x, y = int(x) + i, int(y) + j
+                if x < y and find(x) != find(y) and similar(sets[x], sets[y], least):
+                    root[find(y)] = find(x)
+                    out.append((y, x))
+    return out
+
+
+def _verify(radius: int, least: float):
+    """mapInArrow body over rows (bucket, node, fp, shingles) sorted by bucket."""
+
+    def edges_of(rows: pa.Table) -> pa.RecordBatch:
+        prints = rows.column("fp").to_numpy().view(np.uint64)
+        nodes = rows.column("node").to_numpy()
+        sets = [np.asarray(s.values) for s in rows.column("shingles")]
+        links = verified_links(prints, sets, radius, least)
+        a = pa.array([int(nodes[x]) for x, _ in links], pa.int64())
+        return pa.RecordBatch.from_arrays([a, pa.array([int(nodes[y]) for _, y in links], pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket = batch.column(0).to_numpy()
+            first = np.nonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))[0]
+            for start, stop in zip(first, np.append(first[1:], len(bucket)), strict=True):
+                if held and held[-1].column(0)[0].as_py() != bucket[start]:
+                    yield edges_of(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(start, stop - start))
+        if held:
+            yield edges_of(pa.Table.from_batches(held))
+
+    return run
+
+
+def _shingled(texts: DataFrame, words: int) -> DataFrame:
+    """(node, fp, comp, pieces, shingles) from (node, fp, comp, pieces, text)."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingle_hashes(t, words) for t in as_bytes(batch.column(4))]
+            offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            shingles = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
+            return pa.RecordBatch.from_arrays([*batch.columns[:4], shingles], names=["node", "fp", "comp", "pieces", "shingles"])
+
+        return step
+
+    return arrow_map(texts, make, "node long, fp long, comp long, pieces long, shingles array<long>", slice_rows=128)
+
+
+def near_duplicate_texts(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 3,
+    radius: int = 11,
+    words: int = 5,
+    similarity: float = 0.8,
+    piece_rows: int = 32768,
+    piece_bytes: int = 16_000_000,
+) -> DataFrame:
+    """(id_col, fingerprint, component_id), linking texts by similarity, not by fingerprint alone.
+
+    The tiled comparison at a wide radius gathers candidates into coarse components; in
+    these, fingerprint pairs within the radius are verified: two texts link if the Jaccard
+    similarity of their ``words``-word shingle sets is at least ``similarity``. Equal texts
+    always link. A coarse component of more than ``piece_bytes`` bytes of shingles is split
+    into pieces, every pair of which is a task's work of its own.
+    """
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = cut(fingerprints(slim, "id", "text", shingle, with_text=True))
+    texts = cut(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("id").alias("first_id"), F.max("size").alias("size")))
+    distinct = texts.groupBy("fp").agg(F.count(F.lit(1)).alias("texts"))
+    stars = connected_components(link_edges(distinct.select("fp"), radius, bands=4, flips=1, piece_rows=piece_rows))
+    alone = distinct.filter("texts > 1").join(stars, F.col("fp") == F.col("node"), "left_anti").select(F.col("fp").alias("node"), F.col("fp").alias("root"))
+    coarse = stars.union(alone).select(F.col("node").alias("fp"), F.col("root").alias("comp"))
+    members = cut(texts.join(coarse, "fp").select("node", "fp", "comp", "first_id", "size"))
+    weight = members.groupBy("comp").agg(F.ceil(F.sum(F.col("size") * 2) / F.lit(piece_bytes)).cast("long").alias("pieces"))
+    wanted = members.join(weight, "comp").select("node", "fp", "comp", F.greatest("pieces", F.lit(1)).alias("pieces"), F.col("first_id").alias("id"))
+    with_node = slim.withColumn("node", F.xxhash64("text"))
+    same = [with_node["node"] == F.col("w.node"), with_node["id"].eqNullSafe(F.col("w.id"))]
+    held = with_node.join(bounded(wanted, members.count()).alias("w"), same)
+    shingled = _shingled(held.select("w.node", "w.fp", "w.comp", "w.pieces", "text"), words)
+    mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("pieces"))
+    dealt = shingled.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    bucket = F.xxhash64("comp", F.least("mine", "other"), F.greatest("mine", "other"))
+    sorted_rows = dealt.select(bucket.alias("bucket"), "node", "fp", "shingles").repartition("bucket").sortWithinPartitions("bucket")
+    linked = connected_components(sorted_rows.mapInArrow(_verify(radius, similarity), "a long, b long"))
+    joined = linked.join(texts.select("node", "first_id"), "node")
+    least = joined.groupBy("root").agg(F.min("first_id").alias("least_id"))
+    by_root = joined.join(least, "root").select("node", "least_id")
+    by_text = texts.join(by_root, "node", "left").select("node", F.coalesce("least_id", "first_id").alias("component_id"))
+    return rows.join(by_text, "node").select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -85,3 +85,54 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(24)] + [(900, 901)], "a long, b long")
     got = {r.node: r.root for r in connected_components(edges).collect()}
     assert got == {i: 0 for i in range(25)} | {900: 900, 901: 900}
+
+
+def plain_shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_similar_components(texts):
+    ids = sorted(texts)
+    prints = {i: plain_fingerprint(texts[i]) for i in ids}
+    sets = {i: plain_shingles(texts[i]) for i in ids}
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in ids:
+        for j in ids:
+            if i < j:
+                both = len(sets[i] | sets[j])
+                close = (prints[i] ^ prints[j]).bit_count() <= 11 and 10 * len(sets[i] & sets[j]) >= 8 * both
+                if close or (texts[i] or "") == (texts[j] or ""):
+                    a, b = sorted((find(i), find(j)))
+                    root[b] = a
+    return {i: find(i) for i in ids}
+
+
+def test_similar_texts_match_brute_force(spark):
+    rng = random.Random(14)
+    say = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    texts = [None, "", " ", "one", "One", "a b c d", "a b  c d", "a b c e"]
+    for _ in range(40):
+        base = say(rng.randrange(5, 300))
+        texts.append(" ".join(base))
+        for _ in range(rng.randrange(4)):
+            near = list(base)
+            for _ in range(rng.randrange(1, 9)):
+                near[rng.randrange(len(near))] = "edit"
+            texts.append(" ".join(near))
+    hub = say(120)
+    texts += [" ".join([*hub[:k], "x", *hub[k:]]) for k in range(0, 120, 6)]
+    want = plain_similar_components(dict(enumerate(texts)))
+    assert len(set(want.values())) < len(texts) - 30
+    docs = spark.createDataFrame([*enumerate(texts), (9, texts[9])], "doc_id long, text string")
+    for options in ({}, {"piece_rows": 7, "piece_bytes": 4000}):
+        got = simhash.near_duplicate_texts(docs, **options).collect()
+        assert len(got) == len(texts) + 1
+        assert {r.doc_id: r.component_id for r in got} == want
+    assert simhash.near_duplicate_texts(docs.limit(0)).count() == 0
