@@ -189,6 +189,57 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(table(spark, sf_dir, "documents"))
 
 
+def digest_sql(templates: list[Template] | None = None, reach: int = 4, coverage: float = 0.9) -> str:
+    """DuckDB SQL for the rows of ``license_digest``."""
+    templates = templates or default_templates()
+    facts = ", ".join(f"({n}, '{t.label}', {len(t.words)}, {str(t.exact).lower()})" for n, t in enumerate(templates))
+    seeds = ", ".join(
+        f"({n}, {at}, '{a}', '{b}')" for n, t in enumerate(templates) for at, (a, b) in enumerate(zip(t.words, t.words[1:], strict=False))
+    )
+    return rf"""
+WITH templates(template, label, n, exact) AS (VALUES {facts}),
+seeds(template, template_at, a, b) AS (VALUES {seeds}),
+docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+),
+grams AS (SELECT rid, i - 1 AS doc_at, words[i] AS a, words[i + 1] AS b FROM (SELECT rid, words, unnest(range(1, len(words))) AS i FROM docs)),
+diagonals AS (
+  SELECT rid, template, doc_at - template_at AS diagonal, list(DISTINCT template_at) AS places
+  FROM grams JOIN seeds USING (a, b) GROUP BY ALL
+),
+exact_spans AS (
+  SELECT rid, label, diagonal AS first_word, 1.0::DOUBLE AS score FROM diagonals JOIN templates USING (template) WHERE exact AND len(places) = n - 1
+),
+marked AS (
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) <= {reach} THEN 0 ELSE 1 END AS fresh
+  FROM diagonals JOIN templates USING (template) WHERE NOT exact
+),
+bands AS (SELECT *, sum(fresh) OVER (PARTITION BY rid, template ORDER BY diagonal) AS band FROM marked),
+merged AS (
+  SELECT rid, template, any_value(label) AS label, any_value(n) AS n, band, list_distinct(flatten(list(places))) AS places,
+         min(diagonal + list_min(places)) AS first_word, max(diagonal + list_max(places) + 2) AS end_word
+  FROM bands GROUP BY rid, template, band
+),
+noticed AS (
+  SELECT rid, label, len(list_distinct(list_concat(places, list_transform(places, lambda x: x + 1)))) / n AS score FROM merged
+  WHERE len(list_distinct(list_concat(places, list_transform(places, lambda x: x + 1)))) / n >= {coverage} AND end_word - first_word <= n + {2 * reach}
+),
+base AS (
+  SELECT rid, count(*) AS n_base, min(first_word) AS first_word, max(first_word) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM exact_spans GROUP BY rid
+),
+every AS (
+  SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
+  FROM (SELECT rid, label, score FROM exact_spans UNION ALL SELECT rid, label, score FROM noticed) GROUP BY rid
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+       CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM docs LEFT JOIN base USING (rid) LEFT JOIN every USING (rid)
+"""
+
+
 def plain_words(text: str | None) -> list[str]:
     """The word rule in plain Python, for tests."""
     folded = (text or "").translate(str.maketrans(UPPER, LOWER))

@@ -25,4 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_token_counts": token_rollup.OP7_SQL}
+    return {
+        "op7_token_counts": token_rollup.OP7_SQL,
+        "op10_license_scan": licenses.digest_sql(),
+    }
