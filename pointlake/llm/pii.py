@@ -240,3 +240,80 @@ def span_digest(docs: DataFrame) -> DataFrame:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(table(spark, sf_dir, "documents"))
+
+
+def _places_sql(text: str, pattern: str) -> str:
+    """DuckDB: list of (start, end, value) of the pattern's matches in an expression."""
+    found, gaps = f"regexp_extract_all({text}, '{pattern}')", f"string_split_regex({text}, '{pattern}')"
+    before = f"coalesce(list_sum(list_transform(({found})[1:i - 1], lambda x: length(x))), 0) + list_sum(list_transform(({gaps})[1:i], lambda x: length(x)))"
+    return f"list_transform(range(1, len({found}) + 1), lambda i: {{'s': CAST({before} AS BIGINT), 'e': CAST({before} + length(({found})[i]) AS BIGINT), 'v': ({found})[i]}})"
+
+
+#: The contract's patterns, as plain leftmost regular expressions, and their checks.
+_SQL_KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "list_bool_and(list_transform(string_split(p.v, '.'), lambda x: TRY_CAST(x AS HUGEINT) <= 255))"),
+    "card": (
+        r"[0-9](?:[\x20-]?[0-9])+",
+        "length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda k: CASE WHEN (length(digits) - k) % 2 = 0 THEN CAST(digits[k] AS INT) "
+        "WHEN CAST(digits[k] AS INT) > 4 THEN 2 * CAST(digits[k] AS INT) - 9 ELSE 2 * CAST(digits[k] AS INT) END)) % 10 = 0",
+    ),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(digits) BETWEEN 8 AND 15"),
+}
+
+
+def digest_sql(threshold: float = 0.8, support: int = 20, reach: int = 96, near: int = 3) -> str:
+    """DuckDB SQL for the rows of ``span_digest``."""
+    kinds = " UNION ALL ".join(
+        f"SELECT rid, {n} AS nth, '{kind}' AS kind, p.s AS s, p.e AS e FROM (SELECT rid, p, regexp_replace(p.v, '[^0-9]', '', 'g') AS digits "
+        f"FROM (SELECT rid, unnest({_places_sql('text', pattern)}) AS p FROM docs WHERE regexp_matches(text, '{pattern}'))) WHERE {valid}"
+        for n, (kind, (pattern, valid)) in enumerate(_SQL_KINDS.items())
+    )
+    term = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    counts = ", ".join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k in KINDS)
+    sums = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS)
+    return f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+ent AS MATERIALIZED ({kinds}),
+windows AS (
+  SELECT rid, kind, s, e, greatest(s - {reach}, 0) AS low, substring(text, greatest(s - {reach}, 0) + 1, s - greatest(s - {reach}, 0)) AS before,
+         substring(text, e + 1, {reach}) AS after
+  FROM ent JOIN docs USING (rid)
+),
+around AS (
+  SELECT rid, kind, s, e, 'l' AS side, t.s + low AS ts, t.e + low AS te, t.v AS v, -t.s AS far
+  FROM (SELECT *, unnest({_places_sql("before", term)}) AS t FROM windows) WHERE t.s > 0 OR low = 0
+  UNION ALL
+  SELECT rid, kind, s, e, 'r', t.s + e, t.e + e, t.v, t.s
+  FROM (SELECT *, unnest({_places_sql("after", term)}) AS t FROM windows) WHERE t.e < {reach} OR length(after) < {reach}
+),
+clear AS (
+  SELECT * FROM around a WHERE regexp_matches(v, '[^0-9]') AND NOT EXISTS (SELECT 1 FROM ent x WHERE x.rid = a.rid AND x.s < a.te AND a.ts < x.e)
+),
+contexts AS MATERIALIZED (
+  SELECT rid, kind, ts, te, lower(v) AS term FROM clear QUALIFY row_number() OVER (PARTITION BY rid, kind, s, e, side ORDER BY far) <= {near}
+),
+together AS (
+  SELECT term, kind, count(*) AS n FROM (SELECT DISTINCT term, kind, doc_id, md5(text) AS h FROM contexts JOIN docs USING (rid))
+  GROUP BY ALL HAVING count(*) >= {support}
+),
+known AS (
+  SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '{term}'))) AS term FROM docs) GROUP BY term
+),
+rarity AS (
+  SELECT kind, (SELECT count(*) FROM docs)::DOUBLE / count(DISTINCT rid) AS r FROM ent GROUP BY kind
+),
+revealing AS (
+  SELECT t.term, t.kind FROM together t JOIN known k ON k.term = t.term JOIN rarity USING (kind)
+  WHERE r > 1 AND ln(t.n::DOUBLE / k.n * r) / ln(r) >= {threshold}
+),
+terms AS (
+  SELECT rid, string_agg('{TERM}:' || ts || ':' || te, ',' ORDER BY ts, te) AS listed
+  FROM (SELECT DISTINCT rid, ts, te FROM contexts JOIN revealing USING (term, kind)) GROUP BY rid
+),
+base AS (
+  SELECT rid, {sums}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY nth, s) AS listed FROM ent GROUP BY rid
+)
+SELECT doc_id, {counts}, sha256(coalesce(b.listed, '')) AS base_sha256, concat_ws(',', b.listed, t.listed) AS spans
+FROM docs LEFT JOIN base b USING (rid) LEFT JOIN terms t USING (rid)
+"""

@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_pii": pii.digest_sql(),
         "op7_token_counts": token_rollup.OP7_SQL,
         "op10_license_scan": licenses.digest_sql(),
     }

@@ -107,3 +107,12 @@ def test_plan_is_native(spark):
     docs = spark.createDataFrame([(1, "cc by")], "doc_id long, text string")
     plan = pii.span_digest(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_rows_match_sql(spark, tmp_path):
+    from tests.oracle import connect, same_rows
+
+    rows = [*corpus(), *((1000 + i, t) for i, t in enumerate(texts()[:150])), (None, "a@b.c"), (1000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert same_rows(pii.span_digest(docs), connect(tmp_path), pii.digest_sql()) == len(rows)
