@@ -145,7 +145,11 @@ class Classifier:
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with the struct column ``language`` (lang_pred, score, margin, rejected)."""
+    """``docs`` with the struct column ``language`` (lang_pred, score, margin, rejected).
+
+    An input column of that name is replaced.
+    """
+    docs = docs.drop("language")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [f"c{k}" for k in range(len(docs.columns))]
     types = [f.dataType.simpleString() for f in docs.schema.fields]
