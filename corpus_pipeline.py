@@ -5,8 +5,8 @@ but the last return the columns of ``documents``. Which rows go:
 
 - ``language_id``: documents whose language is rejected (no letter, or margins
   too narrow). A missing ``lang`` is filled with the prediction.
-- ``near_dedup``: of each component of near-identical fingerprints the row with
-  the least doc_id stays; of repeated rows one.
+- ``near_dedup``: of each component of texts whose five-word shingles are 80 %
+  alike the row with the least doc_id stays; of repeated rows one.
 - ``decontaminate``: documents that leak a benchmark item.
 - ``pii``: none; personal data and the terms that reveal it are generalised in
   ``text``, and ``n_chars`` follows.
@@ -38,7 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # a row without an id stands for itself, after all ids
     own = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
     rows = docs.select(*COLUMNS, F.coalesce("doc_id", own).alias("own_id"))
-    groups = simhash.near_duplicates(rows, id_col="own_id")
+    groups = simhash.near_duplicate_texts(rows, id_col="own_id")
     kept = groups.filter("own_id = component_id").groupBy("own_id").count()
     single = rows.join(kept.filter("count = 1"), "own_id", "left_semi")
     several = rows.join(kept.filter("count > 1"), "own_id", "left_semi")

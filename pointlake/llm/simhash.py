@@ -265,25 +265,21 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 def verified_links(prints: np.ndarray, sets: list[np.ndarray], radius: int, least: float, tile: int = 512) -> list[tuple[int, int]]:
     """Links that connect positions exactly as all pairs do that are near and similar.
 
-    Pairs that verified links already connect are not compared again.
+    Nearer pairs come first, and pairs that verified links already connect are not
+    compared again, so a large group of copies costs little more than its size.
     """
-    root = list(range(len(prints)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for i in range(0, len(prints), tile):
-        for j in range(i, len(prints), tile):
-            near = np.bitwise_count(prints[i : i + tile, None] ^ prints[None, j : j + tile]) <= radius
-            for x, y in zip(*np.nonzero(near), strict=True):
-                x, y = int(x) + i, int(y) + j
-                if x < y and find(x) != find(y) and similar(sets[x], sets[y], least):
-                    root[find(y)] = find(x)
-                    out.append((y, x))
+    n = len(prints)
+    apart = np.empty((n, n), np.uint8)
+    for i in range(0, n, tile):
+        apart[i : i + tile] = np.bitwise_count(prints[i : i + tile, None] ^ prints[None, :])
+    apart[np.tri(n, dtype=bool)] = 255
+    label, out = np.arange(n), []
+    for distance in range(radius + 1):
+        for x, y in np.argwhere(apart == distance).tolist():
+            if label[x] != label[y] and similar(sets[x], sets[y], least):
+                out.append((y, x))
+                label[label == label[y]] = label[x]
+        apart[label[:, None] == label[None, :]] = 255
     return out
 
 
@@ -340,15 +336,15 @@ def near_duplicate_texts(
     words: int = 5,
     similarity: float = 0.8,
     piece_rows: int = 32768,
-    piece_bytes: int = 16_000_000,
+    piece_bytes: int = 8_000_000,
 ) -> DataFrame:
     """(id_col, fingerprint, component_id), linking texts by similarity, not by fingerprint alone.
 
     The tiled comparison at a wide radius gathers candidates into coarse components; in
     these, fingerprint pairs within the radius are verified: two texts link if the Jaccard
     similarity of their ``words``-word shingle sets is at least ``similarity``. Equal texts
-    always link. A coarse component of more than ``piece_bytes`` bytes of shingles is split
-    into pieces, every pair of which is a task's work of its own.
+    always link. A coarse component of more than ``piece_bytes`` bytes of shingles (4 KB at
+    least a text) is split into pieces, every pair of which is a task's work of its own.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = cut(fingerprints(slim, "id", "text", shingle, with_text=True))
@@ -358,7 +354,7 @@ def near_duplicate_texts(
     alone = distinct.filter("texts > 1").join(stars, F.col("fp") == F.col("node"), "left_anti").select(F.col("fp").alias("node"), F.col("fp").alias("root"))
     coarse = stars.union(alone).select(F.col("node").alias("fp"), F.col("root").alias("comp"))
     members = cut(texts.join(coarse, "fp").select("node", "fp", "comp", "first_id", "size"))
-    weight = members.groupBy("comp").agg(F.ceil(F.sum(F.col("size") * 2) / F.lit(piece_bytes)).cast("long").alias("pieces"))
+    weight = members.groupBy("comp").agg(F.ceil(F.sum(F.col("size") * 2 + 4096) / F.lit(piece_bytes)).cast("long").alias("pieces"))
     wanted = members.join(weight, "comp").select("node", "fp", "comp", F.greatest("pieces", F.lit(1)).alias("pieces"), F.col("first_id").alias("id"))
     with_node = slim.withColumn("node", F.xxhash64("text"))
     same = [with_node["node"] == F.col("w.node"), with_node["id"].eqNullSafe(F.col("w.id"))]

@@ -6,7 +6,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tests.llm.test_decontam import naive_rows
 from tests.llm.test_pii import plain_spans
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_simhash import plain_similar_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -48,10 +48,11 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     assert next(d for d in known if d[0] == 220)[2] == "en"
 
     single = through(1, known)
-    prints = {}
+    texts = {}
     for d in known:
-        prints.setdefault(d[0] if d[0] is not None else 10**6 + len(prints), plain_fingerprint(d[1]))
-    roots = set(plain_components(prints).values())
+        texts.setdefault(d[0] if d[0] is not None else 10**6 + len(texts), d[1])
+    roots = set(plain_similar_components(texts).values())
+    assert {200, 201, 202} & roots == set()
     assert sorted(d[0] for d in single if d[0] is not None) == sorted(r for r in roots if r < 10**6)
     assert len(single) == len(roots)
 

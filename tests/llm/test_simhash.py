@@ -131,7 +131,7 @@ def test_similar_texts_match_brute_force(spark):
     want = plain_similar_components(dict(enumerate(texts)))
     assert len(set(want.values())) < len(texts) - 30
     docs = spark.createDataFrame([*enumerate(texts), (9, texts[9])], "doc_id long, text string")
-    for options in ({}, {"piece_rows": 7, "piece_bytes": 4000}):
+    for options in ({}, {"piece_rows": 7, "piece_bytes": 30000}):
         got = simhash.near_duplicate_texts(docs, **options).collect()
         assert len(got) == len(texts) + 1
         assert {r.doc_id: r.component_id for r in got} == want
