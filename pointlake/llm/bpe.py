@@ -17,7 +17,6 @@ ids and an empty decoded string. Repeated rows and extra columns pass through.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import re
@@ -199,27 +198,16 @@ class BpeModel:
         return " ".join(map(self.text_of.__getitem__, ids))
 
 
-@functools.lru_cache(maxsize=2)
-def _model(digest: str, holder: _Held) -> BpeModel:
-    return BpeModel(holder.spec)
-
-
-class _Held:
-    """Carries the file's bytes past the cache's key."""
-
-    def __init__(self, spec: bytes):
-        self.spec = spec
-
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, _Held)
-
-    def __hash__(self) -> int:
-        return 0
+_loaded: dict[str, BpeModel] = {}
 
 
 def load(spec: bytes) -> BpeModel:
     """The model of a tokenizer file's bytes, made once in each process."""
-    return _model(hashlib.sha256(spec).hexdigest(), _Held(spec))
+    digest = hashlib.sha256(spec).hexdigest()
+    if digest not in _loaded:
+        _loaded.clear()
+        _loaded[digest] = BpeModel(spec)
+    return _loaded[digest]
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
