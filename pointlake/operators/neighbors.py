@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from pointlake.functions import metrics
@@ -18,6 +18,12 @@ def _checked(k: int) -> int:
     return k
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """``df`` and an observation whose ``seen`` is the number of rows that a search read."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("seen")), seen
+
+
 def with_distance(df: DataFrame, query: dict[str, float], metric: str = "l2") -> DataFrame:
     a = [F.col(c) for c in query]
     return df.withColumn("distance", metrics.wide(metric, a, [F.lit(v) for v in query.values()]))

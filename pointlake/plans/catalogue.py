@@ -187,6 +187,14 @@ def knn_minkowski3(spark, sf_dir):
     return _knn_vector(spark, sf_dir, "minkowski:3")
 
 
+@query(
+    "SELECT e.vec_id, round(list_max(list_transform(list_zip(e.embedding, q.embedding), lambda z: abs(z[1]::double - z[2]::double))), 6) AS distance "
+    "FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY distance, vec_id LIMIT 10"
+)
+def knn_linf(spark, sf_dir):
+    return _knn_vector(spark, sf_dir, "linf")
+
+
 @query(
     """SELECT query_id, vec_id, distance, rank FROM (
     SELECT q.vec_id AS query_id, e.vec_id, round(sqrt(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double)))), 6) AS distance,
@@ -232,6 +240,12 @@ def bounds(spark, sf_dir):
     return extrema.bounds(read(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_shipdate"])
 
 
+@query("SELECT round(stddev_pop(l_quantity), 6) AS stddev_l_quantity, round(stddev_pop(l_discount), 6) AS stddev_l_discount FROM lineitem")
+def axis_spread(spark, sf_dir):
+    found = extrema.spread(read(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"])
+    return found.select(*[F.round(c, 6).alias(c) for c in ("stddev_l_quantity", "stddev_l_discount")])
+
+
 @query("SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice, p_partkey LIMIT 1")
 def min_point(spark, sf_dir):
     return extrema.min_point(read(spark, sf_dir, "part"), "p_retailprice", "p_partkey").select("p_partkey", "p_retailprice")
@@ -338,6 +352,21 @@ def sliding_sum(spark, sf_dir):
     return rangeagg.sliding_fold(_events(spark, sf_dir), monoids.SUM, 10, bits=12)
 
 
+@query(f"SELECT idx, val, max(val) OVER (ORDER BY idx ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS fold FROM {_EV}")
+def sliding_max(spark, sf_dir):
+    return rangeagg.sliding_fold(_events(spark, sf_dir), monoids.MAX, 100, bits=12)
+
+
+@query(
+    f"SELECT CAST(sum(val) AS BIGINT) AS sum, min(val) AS min, max(val) AS max, bit_and(val) AS bit_and, bit_or(val) AS bit_or, bit_xor(val) AS bit_xor, "
+    f"bool_and(val > 0) AS bool_and, bool_or(val > 0) AS bool_or FROM {_EV} WHERE idx BETWEEN 10 AND 400"
+)
+def monoid_folds(spark, sf_dir):
+    inside = _events(spark, sf_dir).filter(F.col("idx").between(10, 400)).withColumn("flag", F.col("val") > 0)
+    numbers = [monoids.ALL[m].folded("val").alias(m) for m in ("sum", "min", "max", "bit_and", "bit_or", "bit_xor")]
+    return inside.agg(*numbers, *[monoids.ALL[m].folded("flag").alias(m) for m in ("bool_and", "bool_or")])
+
+
 @query(
     f"SELECT l AS level, idx >> l AS block, max(val) AS fold FROM {_EV}, (SELECT CAST(x AS INTEGER) AS l FROM range(64) t(x)), (SELECT max(event_id) AS top FROM events) "
     "WHERE l = 0 OR (top >> (l - 1)) > 0 GROUP BY ALL"
@@ -386,6 +415,11 @@ def interval_update_sum(spark, sf_dir):
     return updates.interval_add(_events(spark, sf_dir), _deltas(spark, sf_dir))
 
 
+@query(f"SELECT a.idx, CAST(a.val + coalesce(sum(delta), 0) AS BIGINT) AS val FROM {_EV} a LEFT JOIN {_IV} i ON a.idx >= lo AND a.idx < hi GROUP BY a.idx, a.val")
+def interval_update_half_open(spark, sf_dir):
+    return updates.interval_combine(_events(spark, sf_dir), _deltas(spark, sf_dir), monoids.SUM, closed=False)
+
+
 @query(f"SELECT a.idx, greatest(a.val, coalesce(max(delta), a.val)) AS val FROM {_EV} a LEFT JOIN {_IV} i ON a.idx BETWEEN lo AND hi GROUP BY a.idx, a.val")
 def interval_update_max(spark, sf_dir):
     return updates.interval_combine(_events(spark, sf_dir), _deltas(spark, sf_dir), monoids.MAX)

@@ -52,6 +52,12 @@ class Split:
     high: Split | None = None
     cell: int = -1
 
+    def lines(self, depth: int = 0) -> list[str]:
+        """The plan as indented text, one node a line."""
+        if self.axis is None:
+            return [f"{'  ' * depth}cell {self.cell}"]
+        return [f"{'  ' * depth}{self.axis} < {self.at}", *self.low.lines(depth + 1), *self.high.lines(depth + 1)]
+
     def cell_of(self) -> Column:
         if self.axis is None:
             return F.lit(self.cell)

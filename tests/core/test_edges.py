@@ -118,6 +118,11 @@ def test_knn_ties_empty_and_bad_k(spark, points):
         metrics.wide("minkowski:0.5", [F.col("x")], [F.col("y")])
 
 
+def test_rows_seen_by_a_search(points):
+    rows, seen = neighbors.counted(points)
+    assert neighbors.knn(rows, dict.fromkeys(AXES, 0.0), 3, "id").count() == 3 and seen.get["seen"] == len(cloud())
+
+
 def test_own_metric(points):
     vectors = points.select("id", F.array(*AXES).alias("v"))
     first_axis = lambda a, b: F.abs(F.get(a, F.lit(0)) - F.get(b, F.lit(0)))
@@ -264,6 +269,7 @@ def test_layouts_keep_all_rows(spark, points):
         plan = layout.median_splits(points, AXES, 3, rule=rule)
         cells = points.withColumn("cell", plan.cell_of())
         assert coords(cells) == want and 3 < cells.select("cell").distinct().count() <= 8
+        assert len(plan.lines()) == 2 * sum("cell" in line for line in plan.lines()) - 1
     vectors = points.select("id", F.array(*AXES).alias("v"))
     pivot = layout.farthest_pivot(vectors, "v")
     marked = layout.with_pivot_distance(vectors, "v", pivot)
