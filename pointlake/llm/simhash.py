@@ -275,10 +275,13 @@ def verified_links(prints: np.ndarray, sets: list[np.ndarray], radius: int, leas
     apart[np.tri(n, dtype=bool)] = 255
     label, out = np.arange(n), []
     for distance in range(radius + 1):
-        for x, y in np.argwhere(apart == distance).tolist():
-            if label[x] != label[y] and similar(sets[x], sets[y], least):
-                out.append((y, x))
-                label[label == label[y]] = label[x]
+        pairs = np.argwhere(apart == distance)
+        for at in range(0, len(pairs), 4096):
+            some = pairs[at : at + 4096]
+            for x, y in some[label[some[:, 0]] != label[some[:, 1]]].tolist():
+                if label[x] != label[y] and similar(sets[x], sets[y], least):
+                    out.append((y, x))
+                    label[label == label[y]] = label[x]
         apart[label[:, None] == label[None, :]] = 255
     return out
 
