@@ -49,7 +49,7 @@ def spelled(words: list[bytes]) -> bytes:
     return b" ".join(words[:-1]) + END
 
 
-def _blocks(texts: list[bytes], block_bytes: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def _blocks(texts: list[bytes], block_bytes: int = 1_000_000) -> Iterator[tuple[int, int]]:
     start = size = 0
     for at, text in enumerate(texts):
         if at > start and size + len(text) > block_bytes:
@@ -78,7 +78,7 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class _Counts:
     """Counts of one task, given out whenever they grow beyond ``room`` entries."""
 
-    def __init__(self, room: int = 400_000):
+    def __init__(self, room: int = 250_000):
         self.room, self.words, self.codes, self.held = room, Counter(), [], 0
 
     def add(self, texts: list[bytes]) -> None:
