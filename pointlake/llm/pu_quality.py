@@ -102,9 +102,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int, rate: float, decay: float) -> tuple[np.ndarray, float]:
-    """Non-negative PU risk with the logistic loss, by full-batch Adam."""
-    add_one = lambda x: np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
-    p, u = add_one(positive), add_one(unlabelled)
+    """Non-negative PU risk with the logistic loss, by full-batch Adam; the last column is the bias."""
+    p, u = positive, unlabelled
     w, adam = np.zeros(p.shape[1], np.float32), _Adam(p.shape[1], rate)
     for _ in range(rounds):
         at_p, at_u = p @ w, u @ w
@@ -131,14 +130,17 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least_mass: flo
 
 
 def fit_samples(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 600, rate: float = 0.2, decay: float = 1e-6) -> PuModel:
-    """Prior from a positive-against-unlabelled fit, then the non-negative PU fit."""
+    """Prior from a positive-against-unlabelled fit, then the non-negative PU fit.
+
+    Rows are features and a last column of ones.
+    """
     if not len(positive) or not len(unlabelled):
         return PuModel(np.zeros(WIDTH, np.float32), 0.0, 0.5)
     # half of each sample fits the score, the other half measures it
     halves = lambda x: (x[::2], x[1::2] if len(x) > 1 else x)
     (p_fit, p_see), (u_fit, u_see) = halves(positive), halves(unlabelled)
     rough, _ = _train(p_fit, u_fit, 0.5, 100, rate, 1e-4)
-    prior = estimate_prior(p_see @ rough, u_see @ rough)
+    prior = estimate_prior(p_see[:, :-1] @ rough, u_see[:, :-1] @ rough)
     weights, bias = _train(positive, unlabelled, prior, rounds, rate, decay)
     return PuModel(weights, bias, prior)
 
@@ -167,14 +169,21 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     chosen = F.broadcast(positives.union(unlabelled))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = _featured(texts.join(chosen, "id").select("which", "text")).toArrow()
-    which = np.array(rows.column("which").to_pylist(), object)
-    raw = rows.column("raw").to_pylist()
-    matrix = np.frombuffer(b"".join(raw), np.float16).reshape(-1, WIDTH).astype(np.float32)
+    which, raw = rows.column("which").to_pylist(), rows.column("raw").to_pylist()
+    del rows
     order = sorted(range(len(raw)), key=lambda k: (which[k], raw[k]))
-    rng = np.random.default_rng(0)
-    rng.shuffle(order)
-    matrix, which = matrix[order], which[order]
-    return fit_samples(matrix[which == "p"], matrix[which == "u"])
+    np.random.default_rng(0).shuffle(order)
+
+    def sample(kind: str) -> np.ndarray:
+        own = [k for k in order if which[k] == kind]
+        out = np.ones((len(own), WIDTH + 1), np.float32)
+        for at, k in enumerate(own):
+            out[at, :-1] = np.frombuffer(raw[k], np.float16)
+        return out
+
+    positive, unknown = sample("p"), sample("u")
+    del raw
+    return fit_samples(positive, unknown)
 
 
 def classify(docs: DataFrame, model: PuModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
