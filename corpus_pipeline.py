@@ -38,7 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # a row without an id stands for itself, after all ids
     own = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
     rows = docs.select(*COLUMNS, F.coalesce("doc_id", own).alias("own_id"))
-    groups = simhash.near_duplicate_texts(rows, id_col="own_id")
+    groups = simhash.near_duplicate_texts(rows, id_col="own_id", beyond=True)
     kept = groups.filter("own_id = component_id").groupBy("own_id").count()
     single = rows.join(kept.filter("count = 1"), "own_id", "left_semi")
     several = rows.join(kept.filter("count > 1"), "own_id", "left_semi")

@@ -6,8 +6,9 @@ population counts differ by more than the radius are skipped. Two
 fingerprints within radius r agree on at least one of r + 1 bit bands, so
 tiles are dealt to tasks by band value without losing a pair.
 
-``near_duplicates`` links by fingerprint alone; ``near_duplicate_texts`` takes
-fingerprints within a wider radius as candidates and verifies them by shingles.
+``near_duplicates`` links by fingerprint alone. ``near_duplicate_texts`` links by
+shingles: fingerprints within a wider radius are verified, and with ``beyond`` the
+similar pairs that fingerprints miss are found by an exact prefix filter.
 
 Edge cases: null or empty text, or text without a word, has fingerprint zero
 and links like any other. Repeated rows keep their own result row. A null id
@@ -330,6 +331,193 @@ def _shingled(texts: DataFrame, words: int) -> DataFrame:
     return arrow_map(texts, make, "node long, fp long, comp long, pieces long, shingles array<long>", slice_rows=128)
 
 
+def frequent_shingles(texts: DataFrame, words: int, share: int = 16, least: int = 8, most: int = 1 << 18) -> np.ndarray:
+    """Hashes of shingles that many texts have, the rarest first, seen in one text of ``share``.
+
+    They only order shingles: any list gives the same pairs, this one gives few candidates.
+    """
+    some = texts.filter(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(share)) == 0)
+    counts = _shingled(some, words).select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(most).select("h").toArrow()
+    return top.column("h").to_numpy()[::-1]
+
+
+def prefix(shingles: np.ndarray, hot: np.ndarray, rank: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles in the common order, as many as two sets of similarity ``least`` must share one of.
+
+    The order is by hash, with the shingles in ``hot`` (sorted) last and by ``rank``.
+    """
+    n = len(shingles)
+    if not n:
+        return shingles
+    known = np.zeros(n, bool)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)
+        known = hot[at] == shingles
+        late = shingles[known][np.argsort(rank[at[known]])]
+        shingles = np.concatenate([shingles[~known], late])
+    return shingles[: n - int(np.ceil(n * (least - 1e-9))) + 1]
+
+
+def _prefixes(texts: DataFrame, words: int, least: float, frequent: np.ndarray) -> DataFrame:
+    """(h, node, comp, n, at): each text's prefix shingles, its number of shingles and their places."""
+    rank = np.argsort(frequent, kind="stable")
+    hot = frequent[rank]
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingle_hashes(t, words) for t in as_bytes(batch.column("text"))]
+            heads = [prefix(s, hot, rank, least) for s in sets]
+            sizes = [len(h) for h in heads]
+            row = pa.array(np.repeat(np.arange(len(heads)), sizes))
+            own = [batch.column(c).take(row) for c in ("node", "comp")]
+            n = pa.array(np.repeat(np.array([len(s) for s in sets], np.int32), sizes))
+            at = pa.array(np.concatenate([np.empty(0, np.int32), *(np.arange(k, dtype=np.int32) for k in sizes)]))
+            h = pa.array(np.concatenate([np.empty(0, np.int64), *heads]))
+            return pa.RecordBatch.from_arrays([h, *own, n, at], names=["h", "node", "comp", "n", "at"])
+
+        return step
+
+    return arrow_map(texts, make, "h long, node long, comp long, n int, at int", slice_rows=128)
+
+
+def _candidates(least: float):
+    """mapInArrow body over rows (h, node, comp, n, at) sorted by h: pairs that may be similar.
+
+    Two texts of one component are no candidates, nor are two whose sizes, or the
+    shingles after the common one, cannot reach the similarity.
+    """
+
+    def pairs_of(h, node, comp, alone, n, at):
+        found = []
+        here = np.arange(len(h))
+        for d in range(1, len(h)):
+            here = here[: np.searchsorted(here, len(h) - d)]
+            here = here[h[here + d] == h[here]]
+            if not len(here):
+                break
+            for part in np.array_split(here, len(here) // 1_000_000 + 1):
+                x, y = part, part + d
+                need = (n[x] + n[y]) * (least / (1 + least)) - 1e-6
+                fits = np.minimum(n[x] - at[x], n[y] - at[y]) >= need
+                fits &= (node[x] != node[y]) & (alone[x] | alone[y] | (comp[x] != comp[y]))
+                x, y = x[fits], y[fits]
+                if len(x):
+                    found.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1))
+            if sum(map(len, found)) > 1_000_000:
+                yield from _pair_batch(found)
+                found = []
+        yield from _pair_batch(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            comp = batch.column(2)
+            rows = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), comp.fill_null(0).to_numpy(), comp.is_null().to_numpy(zero_copy_only=False)]
+            rows += [batch.column(k).to_numpy() for k in (3, 4)]
+            open_from = int(np.argmax(rows[0] == rows[0][-1]))
+            if held and held[-1][0][-1] != rows[0][0] or open_from:
+                ready = [*held, [c[:open_from] for c in rows]]
+                held = []
+                yield from pairs_of(*(np.concatenate(side) for side in zip(*ready, strict=True)))
+            held.append([c[open_from:] for c in rows])
+        if held:
+            yield from pairs_of(*(np.concatenate(side) for side in zip(*held, strict=True)))
+
+    return run
+
+
+def _pair_batch(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if found:
+        both = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """For each residue of the hashes, two to four times as many as there are hashes, whether their number is odd."""
+    bits = max(1024, 1 << int(2 * len(shingles) - 1).bit_length()) if len(shingles) else 1024
+    return np.packbits(np.bincount(shingles & (bits - 1), minlength=bits) & 1).tobytes()
+
+
+def sketches_apart(left: bytes, right: bytes) -> int:
+    """In how many bits two sketches differ, the longer one folded; the sets differ in as many shingles or more."""
+    a, b = sorted((np.frombuffer(left, np.uint8), np.frombuffer(right, np.uint8)), key=len)
+    b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+
+
+def _sketches(texts: DataFrame, words: int) -> DataFrame:
+    """(node, n, sketch): each set's size and sketch."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingle_hashes(t, words) for t in as_bytes(batch.column("text"))]
+            n = pa.array([len(s) for s in sets], pa.int32())
+            return pa.RecordBatch.from_arrays([batch.column("node"), n, pa.array([sketch(s) for s in sets], pa.binary())], names=["node", "n", "sketch"])
+
+        return step
+
+    return arrow_map(texts.select("node", "text"), make, "node long, n int, sketch binary", slice_rows=128)
+
+
+def _close_sketches(least: float):
+    """mapInArrow body over rows (a, b, n, m, left, right): pairs not shown to be apart.
+
+    Sets of similarity ``least`` differ in (1 - least) / (1 + least) of their summed sizes at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = [sketches_apart(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
+            sizes = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            good = np.array(apart, np.int64) <= sizes * ((1 - least) / (1 + least)) + 1e-6
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    return run
+
+
+def _similar_pairs(least: float):
+    """mapInArrow body over rows (a, b, left, right): the pairs whose sets are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = batch.column(2), batch.column(3)
+            good = [similar(np.asarray(x.values), np.asarray(y.values), least) for x, y in zip(left, right, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def prefix_links(texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Edges (a, b) of all similar pairs of ``texts(node, fp, comp, pieces, text)`` in different components.
+
+    Sets of similarity ``least`` share a shingle of their prefixes in any common order of
+    shingles, so the texts that meet by a prefix shingle hold every such pair. Candidates
+    are compared by sketches, which lose none, and then by their whole sets. Texts without a component have a null ``comp``.
+    """
+    heads = _prefixes(texts.select("node", "comp", "text"), words, least, frequent_shingles(texts, words))
+    met = heads.repartition("h").sortWithinPartitions("h").mapInArrow(_candidates(least), "a long, b long")
+    pairs, held = _involved(cut(met.distinct()), texts)
+    sketches = cut(_sketches(held, words).dropDuplicates(["node"]))
+    left = sketches.select(F.col("node").alias("a"), "n", F.col("sketch").alias("left"))
+    right = sketches.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("right"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "left", "right")
+    pairs, held = _involved(cut(both.mapInArrow(_close_sketches(least), "a long, b long")), texts)
+    sets = cut(_shingled(held, words).select("node", "shingles").dropDuplicates(["node"]))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    return both.mapInArrow(_similar_pairs(least), "a long, b long")
+
+
+def _involved(pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` and the rows of ``texts`` that are in one."""
+    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    return pairs, texts.join(bounded(nodes, nodes.count()), "node", "left_semi").select("node", "fp", "comp", "pieces", "text")
+
+
 def near_duplicate_texts(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -340,6 +528,7 @@ def near_duplicate_texts(
     similarity: float = 0.8,
     piece_rows: int = 32768,
     piece_bytes: int = 8_000_000,
+    beyond: bool = False,
 ) -> DataFrame:
     """(id_col, fingerprint, component_id), linking texts by similarity, not by fingerprint alone.
 
@@ -348,6 +537,10 @@ def near_duplicate_texts(
     similarity of their ``words``-word shingle sets is at least ``similarity``. Equal texts
     always link. A coarse component of more than ``piece_bytes`` bytes of shingles (4 KB at
     least a text) is split into pieces, every pair of which is a task's work of its own.
+
+    With ``beyond`` texts link at that similarity whatever their fingerprints: what the
+    radius joins, large groups of copies above all, is joined first, and ``prefix_links``
+    finds the similar pairs that are still apart.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = cut(fingerprints(slim, "id", "text", shingle, with_text=True))
@@ -367,7 +560,14 @@ def near_duplicate_texts(
     dealt = shingled.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
     bucket = F.xxhash64("comp", F.least("mine", "other"), F.greatest("mine", "other"))
     sorted_rows = dealt.select(bucket.alias("bucket"), "node", "fp", "shingles").repartition("bucket").sortWithinPartitions("bucket")
-    linked = connected_components(sorted_rows.mapInArrow(_verify(radius, similarity), "a long, b long"))
+    near = connected_components(sorted_rows.mapInArrow(_verify(radius, similarity), "a long, b long"))
+    linked = near
+    if beyond:
+        known = texts.join(near.withColumnRenamed("root", "comp"), "node", "left")
+        known = cut(known.select("node", "fp", "comp", F.lit(1).cast("long").alias("pieces"), F.col("first_id").alias("id")))
+        whole = with_node.join(bounded(known, known.count()).alias("w"), same).select("w.node", "w.fp", "w.comp", "w.pieces", "text")
+        missed = prefix_links(whole, words, similarity)
+        linked = connected_components(near.select(F.col("node").alias("a"), F.col("root").alias("b")).union(missed))
     joined = linked.join(texts.select("node", "first_id"), "node")
     least = joined.groupBy("root").agg(F.min("first_id").alias("least_id"))
     by_root = joined.join(least, "root").select("node", "least_id")

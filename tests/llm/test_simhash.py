@@ -136,3 +136,50 @@ def test_similar_texts_match_brute_force(spark):
         assert len(got) == len(texts) + 1
         assert {r.doc_id: r.component_id for r in got} == want
     assert simhash.near_duplicate_texts(docs.limit(0)).count() == 0
+
+
+def test_similar_texts_link_beyond_the_fingerprint_radius(spark):
+    rng = random.Random(3)
+    say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    line = say(30)
+    texts = []
+    for k in range(120):
+        base = say(rng.randrange(40, 160))
+        if k % 3 == 0:  # a repeated line weighs more in the fingerprint than in the set
+            texts += [base + line, base + line * 6]
+        texts += [base, base + say(len(base) // 5), base[: len(base) * 5 // 6]]
+    texts = [" ".join(t) for t in texts]
+    sets, prints = [plain_shingles(t) for t in texts], [plain_fingerprint(t) for t in texts]
+    root = list(range(len(texts)))
+    beyond = 0
+    for j in range(len(texts)):
+        for i in range(j):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                beyond += (prints[i] ^ prints[j]).bit_count() > 11
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert beyond > 20
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_texts(docs, beyond=True).collect()}
+    assert got == dict(enumerate(root))
+    assert simhash.near_duplicate_texts(docs.limit(0), beyond=True).count() == 0
+
+
+def test_sketches_differ_no_more_than_sets():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a = np.unique(rng.integers(-(1 << 62), 1 << 62, rng.integers(0, 3000)))
+        b = np.unique(np.append(a[rng.random(len(a)) > 0.1], rng.integers(-(1 << 62), 1 << 62, rng.integers(0, 900))))
+        assert simhash.sketches_apart(simhash.sketch(a), simhash.sketch(b)) <= len(np.setxor1d(a, b))
+
+
+def test_frequent_shingles_change_no_prefix_match():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 40, rng.integers(1, 60)))
+        b = np.unique(np.append(a[rng.random(len(a)) > 0.1], rng.integers(0, 1 << 40, rng.integers(0, 6))))
+        frequent = rng.permutation(np.unique(rng.choice(np.append(a, b), rng.integers(0, len(a) + 1))))
+        rank = np.argsort(frequent)
+        if simhash.similar(a, b, 0.8) and len(b):
+            heads = [simhash.prefix(x, frequent[rank], rank, 0.8) for x in (a, b)]
+            assert len(np.intersect1d(*heads))
