@@ -13,6 +13,9 @@ wholly inside ``reach`` characters of it and outside all entities. Terms are
 lower-cased runs of letters, digits and non-ASCII characters with at least one
 character that is no digit.
 
+``detect`` marks such a term in the contexts of its kind's entities; ``sanitise``
+generalises it wherever it stands outside an entity, in every text.
+
 Edge cases: null text counts as empty and stays null when sanitised; empty texts
 have no span. Rows that share id and text share one result each; repeated rows
 all keep their row. Extra columns pass through ``sanitise`` unchanged. Very long
@@ -26,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointlake.llm.common import cut, table
+from pointlake.llm.common import bounded, cut, table
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -211,15 +214,46 @@ def redact(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(order, start, add, rest)).otherwise(text)
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with spans generalised in the text column; other columns unchanged."""
-    spans = detect(docs, id_col, text_col, **options).filter(F.size("spans") > 0).dropDuplicates(["key"])
+def texts_with(terms: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, values) of the rows that hold one of ``terms``; values are its spellings there."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    values = docs.select(_key(id_col, text).alias("key"), F.explode(F.array_distinct(F.split(text, SEPARATORS))).alias("value"))
+    wanted = cut(terms.select("term").distinct())
+    held = values.withColumn("term", F.lower("value")).join(bounded(wanted, wanted.count()), "term")
+    return held.groupBy("key").agg(F.collect_set("value").alias("values"))
+
+
+def _term_spans(text: Column, values: Column, spans: Column) -> Column:
+    """array<struct<kind,start,end>> of all whole terms among ``values`` outside ``spans``."""
+    edge = TERM_PATTERN.removesuffix("++")
+    pattern = F.concat(F.lit(f"(?<!{edge})(?:"), F.array_join(values, "|"), F.lit(f")(?!{edge})"))
+    clear = F.filter(matches(text, pattern), lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    return F.transform(clear, lambda t: F.struct(F.lit(TERM).alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
+
+
+def sanitise(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = 0.8,
+    support: int = 20,
+    reach: int = 96,
+    near: int = 3,
+) -> DataFrame:
+    """``docs`` with entities, and revealing terms wherever they stand, generalised in the text column."""
+    found = cut(found_entities(docs, id_col, text_col, reach, near))
+    terms = revealing_terms(found, docs, text_col, threshold, support)
+    based = found.filter(F.size("spans") > 0).select("key", "spans").dropDuplicates(["key"])
+    spans = based.join(texts_with(terms, docs, id_col, text_col), "key", "full")
     text = F.coalesce(F.col(text_col), F.lit(""))
     names = [f"c{k}" for k in range(len(docs.columns))]
     renamed = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], _key(id_col, text).alias("doc_key"))
     own = names[docs.columns.index(text_col)]
     joined = renamed.join(spans, renamed.doc_key == spans.key, "left")
-    clean = F.when(F.col("spans").isNull(), F.col(own)).otherwise(redact(F.col(own), F.col("spans")))
+    none = F.array().cast(f"array<{_SPAN}>")
+    base = F.coalesce("spans", none)
+    marked = F.concat(base, F.when(F.col("values").isNull(), none).otherwise(_term_spans(F.col(own), F.col("values"), base)))
+    clean = F.when(F.col("spans").isNull() & F.col("values").isNull(), F.col(own)).otherwise(redact(F.col(own), marked))
     return joined.select(*[(clean if n == own else F.col(n)).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 

@@ -116,3 +116,18 @@ def test_rows_match_sql(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert same_rows(pii.span_digest(docs), connect(tmp_path), pii.digest_sql()) == len(rows)
+
+
+def test_revealing_terms_go_wherever_they_stand(spark):
+    rows = corpus()
+    far = "word " * 60
+    rows += [(5000 + k, f"{far} KONTAKT, kontakt2 xKontakt Kontakt") for k in range(4)]
+    rows += [(6000, f"{rows[0][1]} {far} kontakt kontakt@mail.example.org"), (6000, "Kontakt")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [(r.doc_id, r.text) for r in pii.sanitise(docs).collect()]
+    got = dict(out)
+    assert len(out) == len(rows)
+    assert got[0] == "plain words number w0 and the rest [TERM]: [EMAIL], plain words number w0 and the rest"
+    assert got[5000] == f"{far} [TERM], kontakt2 xKontakt [TERM]"
+    assert sorted(t for i, t in out if i == 6000) == sorted([f"{got[0]} {far} [TERM] [EMAIL]", "[TERM]"])
+    assert got[2] == rows[2][1]
