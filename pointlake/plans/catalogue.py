@@ -217,6 +217,18 @@ def radius_join(spark, sf_dir):
     return found.select("id", "id_r", F.round("distance", 6).alias("distance"))
 
 
+@query(
+    """SELECT a.p_partkey AS id, b.p_partkey AS id_r, round(sqrt((a.p_size - b.p_size) * (a.p_size - b.p_size) + (a.p_retailprice - b.p_retailprice) * (a.p_retailprice - b.p_retailprice)), 6) AS distance
+    FROM part a JOIN part b ON sqrt((a.p_size - b.p_size) * (a.p_size - b.p_size) + (a.p_retailprice - b.p_retailprice) * (a.p_retailprice - b.p_retailprice)) <= 2.05
+    WHERE a.p_partkey < b.p_partkey"""
+)
+def radius_join_whole(spark, sf_dir):
+    """``radius_join`` over all rows of part on both sides."""
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_size", "p_retailprice")
+    found = neighbors.within_distance(part, part, ["p_size", "p_retailprice"], 2.05).filter("id < id_r")
+    return found.select("id", "id_r", F.round("distance", 6).alias("distance"))
+
+
 @query(
     """WITH p AS (SELECT embedding FROM embeddings WHERE vec_id = 1), q AS (SELECT embedding FROM embeddings WHERE vec_id = 2)
     SELECT vec_id FROM embeddings e, q WHERE sqrt(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double)))) <= 1.3"""

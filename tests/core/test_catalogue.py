@@ -17,3 +17,10 @@ def con():
 def test_query_matches_sql(spark, con, name):
     rows = same_rows(catalogue.queries()[name](spark, SF), con, catalogue.oracle_sql()[name])
     assert rows > 0
+
+
+def test_distance_join_compares_all_rows(spark):
+    part = [(r.p_partkey, r.p_size, r.p_retailprice) for r in spark.read.parquet(f"{SF}/part.parquet").collect()]
+    near = lambda a, b: ((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) ** 0.5 <= 2.05
+    want = sorted((a[0], b[0]) for a in part for b in part if a[0] < b[0] and near(a, b))
+    assert sorted((r.id, r.id_r) for r in catalogue.queries()["radius_join_whole"](spark, SF).collect()) == want
