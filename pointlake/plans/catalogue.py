@@ -415,6 +415,24 @@ def point_update_assign(spark, sf_dir):
     return updates.assign(_events(spark, sf_dir), _changes(spark, sf_dir))
 
 
+_CH_ALL = "(SELECT user_id AS idx, CAST(round(value * 100) AS BIGINT) AS val, event_id AS ver FROM events)"
+
+
+def _all_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cents = F.round(F.col("value") * 100).cast("long").alias("val")
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("idx"), cents, F.col("event_id").alias("ver"))
+
+
+@query(f"SELECT a.idx, CAST(a.val + coalesce(c.val, 0) AS BIGINT) AS val FROM {_EV} a LEFT JOIN (SELECT idx, sum(val) AS val FROM {_CH_ALL} GROUP BY idx) c USING (idx)")
+def point_update_combine_whole(spark, sf_dir):
+    return updates.combine(_events(spark, sf_dir), _all_changes(spark, sf_dir).select("idx", "val"), monoids.SUM)
+
+
+@query(f"SELECT a.idx, coalesce(c.val, a.val) AS val FROM {_EV} a LEFT JOIN (SELECT idx, arg_max(val, ver) AS val FROM {_CH_ALL} GROUP BY idx) c USING (idx)")
+def point_update_assign_whole(spark, sf_dir):
+    return updates.assign(_events(spark, sf_dir), _all_changes(spark, sf_dir))
+
+
 _IV = f"(SELECT qid, lo, hi, qid % 11 * 100 AS delta FROM {_Q})"
 
 
@@ -458,6 +476,22 @@ def versioned_range_max(spark, sf_dir):
     return updates.VersionedArray.of_log(_events(spark, sf_dir), monoids.MAX, log).folds([0, 100, 300], 100, 160)
 
 
+_LOG_ALL = "(SELECT event_id + 1 AS ver, event_id * 13 % 1000 AS idx, CAST(round(value * 100) AS BIGINT) + 5000 AS val FROM events)"
+
+
+@query(
+    f"""SELECT CAST(t AS BIGINT) AS ver, max(val) AS fold FROM (SELECT unnest([0, n // 2, n]) AS t FROM (SELECT max(event_id) + 1 AS n FROM events)) JOIN
+    (SELECT 0 AS ver, idx, val FROM {_EV} UNION ALL SELECT * FROM {_LOG_ALL}) l ON l.ver <= t WHERE idx BETWEEN 100 AND 160 GROUP BY t"""
+)
+def versioned_range_max_whole(spark, sf_dir):
+    """``versioned_range_max`` with all events as the log, at its start, middle and end."""
+    log = read(spark, sf_dir, "events").select(
+        (F.col("event_id") + 1).alias("ver"), (F.col("event_id") * 13 % 1000).alias("idx"), (F.round(F.col("value") * 100).cast("long") + 5000).alias("val")
+    )
+    n = rangeagg.last_index(_events(spark, sf_dir)) + 1
+    return updates.VersionedArray.of_log(_events(spark, sf_dir), monoids.MAX, log).folds([0, n // 2, n], 100, 160)
+
+
 # ---- layout and change logs
 
 @query("SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_size >= 10 AND p_size < 30 AND p_retailprice >= 905 AND p_retailprice < 960")
