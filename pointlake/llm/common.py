@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -17,14 +19,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) is one made.
+    Where the session names none, a single-machine session (tests) gets a folder that goes
+    with the process; a cluster, whose machines would not share it, gets a ValueError.
     """
     sc = spark.sparkContext
     here = sc.getCheckpointDir()
     if here:
         return here
     named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pointlake-"))
+    if not named:
+        if not (sc.master.startswith("local[") or sc.master == "local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="pointlake-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
@@ -39,6 +47,25 @@ def bounded(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def join_rows(rows: DataFrame, values: DataFrame, key: str, count: str, total: int, least: int = 1000) -> DataFrame:
+    """Inner join of many ``rows`` with one row of ``values`` a ``key``; no task gets a hot key's rows alone.
+
+    ``count`` (a column of ``values``, dropped) says how many of the ``total`` rows have the key.
+    Keys with more than a ten-thousandth of them, hence fewer than 10,000 keys, are broadcast;
+    the rows of all others are shuffled.
+    """
+    limit = max(least, total // 10_000)
+    hot = values.filter(F.col(count) > limit).drop(count)
+    rest = values.filter(F.col(count) <= limit).drop(count)
+    mine = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
+    return mine.unionByName(rows.join(F.broadcast(hot), key))
+
+
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text: the binary MD5 of its UTF-8 bytes."""
+    return F.unhex(F.md5(text))
+
+
 def doc_fold(id_col: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus`` (null id: null)."""
     return F.crc32(F.col(id_col).cast("string")) % F.lit(modulus)

@@ -6,24 +6,26 @@ each piece is compressed with each dictionary, and the language with the
 smallest total wins. A narrow win is decided again with an optimal parse; one
 that stays narrow is rejected.
 
-Fitting uses a bounded sample: at most ``sample_docs`` documents a language,
-chosen by the least hash of the id in as many hash buckets, and
-``dictionary_bytes`` bytes from the middle of them together. Lines that repeat
-in the sample are boilerplate of no language and are left out.
-
-Edge cases: null text, or text without a letter, is ``und`` with score 0 and
-rejected; so is every text where nothing was learned. Ties go to the language
-with more training documents, then to the lesser name. Rows with a null id are
-held out. Repeated rows keep their own result row; extra columns are ignored.
+Fitting uses a bounded sample: at most ``sample_docs`` distinct texts a language
+that hold a letter, chosen by the least hash of the text in as many hash buckets,
+and ``dictionary_bytes`` bytes (UTF-8) from the middle of them together. Copies of
+a text count once whatever their ids, and a line that several passages have goes
+into a language's dictionary once. Every language with a labelled text that holds
+a letter is learned.
+
+Edge cases: null text, or text without a letter (Unicode category L), is ``und``
+with score 0 and rejected; so is every text where nothing was learned. Ties go to
+the language with more training documents, then to the lesser name. Rows with a
+null id are held out. Very long texts are compressed whole, piece by piece.
+Repeated rows keep their own result row; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from pointlake.llm.common import arrow_map, doc_fold, table
 
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass(frozen=True)
@@ -48,7 +50,6 @@ class LanguageModel:
 
 def fit(
     docs: DataFrame,
-    id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
     train: Column | None = None,
@@ -58,43 +59,36 @@ def fit(
     """Dictionaries from rows where ``train`` holds and the language is known."""
     known = docs.select(
         F.col(lang_col).alias("lang"),
-        F.xxhash64(F.col(id_col)).alias("h"),
         F.col(text_col).alias("text"),
+        F.xxhash64(F.col(text_col)).alias("h"),
         (F.lit(True) if train is None else train).alias("train"),
-    ).filter("train and lang is not null")
-    picked = known.groupBy("lang", F.pmod("h", F.lit(sample_docs)).alias("bucket")).agg(
-        F.min("h").alias("h"), F.count(F.lit(1)).alias("n")
-    )
-    shares = picked.groupBy("lang").agg(F.sum("n").alias("docs"), F.count(F.lit(1)).alias("picked"))
-    rows_left = {r.lang: (r.docs, max(1, dictionary_bytes // r.picked)) for r in shares.collect()}
-    if not rows_left:
+    ).filter("train and lang is not null").filter(F.col("text").rlike(r"\p{L}"))
+    picked = known.groupBy("lang", F.pmod("h", F.lit(sample_docs)).alias("bucket")).agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("n"))
+    shares = picked.groupBy("lang").agg(F.sum("n").alias("docs"), F.count(F.lit(1)).alias("picked")).collect()
+    if not shares:
         return LanguageModel(())
-    share = F.create_map(*[F.lit(x) for lang, (_, size) in sorted(rows_left.items()) for x in (lang, size)])
-    size = share[F.col("lang")]
-    # at most sample_docs rows a language
+    share = F.create_map(*[F.lit(x) for r in sorted(shares) for x in (r.lang, max(1, dictionary_bytes // r.picked))])
+    # at most sample_docs rows a language; of copies one passage
     passages = (
         known.join(F.broadcast(picked.select("lang", "h")), ["lang", "h"])
-        .filter("text is not null")
-        .select("lang", "h", F.expr("substring(text, 1 + cast(greatest(0, char_length(text)) / 2 as int))").alias("half"), "text", size.alias("size"))
-        .select(
-            "lang",
-            "h",
-            F.when(F.length("text") <= F.col("size"), F.col("text"))
-            .otherwise(F.col("half").substr(F.lit(1), F.col("size")))
-            .alias("passage"),
-        )
+        .select("lang", "h", _passage(F.col("text"), share[F.col("lang")]).alias("passage"))
         .groupBy("lang", "h")
         .agg(F.min("passage").alias("passage"))
         .collect()
     )
-    lines = Counter(line for r in passages for line in set(r.passage.split("\n")))
-    parts: dict[str, list[bytes]] = {}
+    lines: dict[str, dict[str, None]] = {r.lang: {} for r in shares}
     for r in sorted(passages, key=lambda r: (r.lang, r.h)):
-        own = "\n".join(line for line in r.passage.split("\n") if lines[line] == 1)
-        if _LETTER.search(own):
-            parts.setdefault(r.lang, []).append(own.lower().encode())
-    order = sorted(parts, key=lambda lang: (-rows_left[lang][0], lang))
-    return LanguageModel(tuple((lang, b"\n".join(parts[lang])[: 2 * dictionary_bytes]) for lang in order))
+        lines[r.lang].update(dict.fromkeys(r.passage.decode("utf-8", "ignore").lower().split("\n")))
+    order = sorted(shares, key=lambda r: (-r.docs, r.lang))
+    return LanguageModel(tuple((r.lang, "\n".join(lines[r.lang]).encode()) for r in order))
+
+
+def _passage(text: Column, size: Column) -> Column:
+    """At most ``size`` bytes from the middle of a text; from its first letter on, if there is none."""
+    raw = text.cast("binary")
+    middle = F.substring(raw, F.greatest(F.lit(0), (F.octet_length(text) - size) / 2).cast("int") + 1, size)
+    first = F.substring(F.regexp_extract(text, r"(?s)\p{L}.*", 0).cast("binary"), F.lit(1), size)
+    return F.when(middle.cast("string").rlike(r"\p{L}"), middle).otherwise(first)
 
 
 class Classifier:
