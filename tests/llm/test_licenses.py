@@ -55,3 +55,79 @@ def test_plan_is_native(spark):
     docs = spark.createDataFrame([(1, "cc by")], "doc_id long, text string")
     plan = licenses.license_digest(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def plain_notices(text, reach=4, coverage=0.9):
+    """(label, first word, end word) of every notice, by the definition."""
+    words, out = plain_words(text), set()
+    for notice, label in licenses.NOTICES:
+        t = notice.split()
+        on = {}
+        for i in range(len(words) - 1):
+            for at in range(len(t) - 1):
+                if words[i : i + 2] == t[at : at + 2]:
+                    on.setdefault(i - at, set()).add(at)
+        good = []
+        for d in sorted(on):
+            held = {x + k for e in on if abs(e - d) <= reach for x in on[e] for k in (0, 1)}
+            if len(held) / len(t) >= coverage:
+                good.append(d)
+        while good:
+            group = [good.pop(0)]
+            while good and good[0] - group[-1] <= reach:
+                group.append(good.pop(0))
+            d = min(group, key=lambda g: (-len(on[g]), g))
+            places = []
+            for at in range(len(t) - 1):
+                near = [(abs(e - d), e) for e in on if abs(e - d) <= reach and at in on[e]]
+                if near:
+                    places.append(min(near)[1] + at)
+            out.add((label, min(places), max(places) + 2))
+    return out
+
+
+plain_words = licenses.plain_words
+
+
+def edited_texts():
+    rng = random.Random(17)
+    out = ["released under the mit license" + " under the mit license" * 3, "released under the mit license " * 4, "the mit license " * 30]
+    for _ in range(70):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            words += [rng.choice(["of", "the", "license", "under", "software", "x"]) for _ in range(rng.randrange(8))]
+            notice = rng.choice(licenses.NOTICES)[0].split()
+            for _ in range(rng.randrange(3)):
+                at = rng.randrange(len(notice))
+                notice[at : at + rng.randrange(2)] = rng.choice([[], ["any"], ["the"]])
+            words += notice
+        out.append(" ".join(words))
+    return out
+
+
+def test_notices_match_a_naive_scan(spark):
+    rows = [*edited_texts(), None, ""]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = 0
+    for r in licenses.scan(docs).collect():
+        want = plain_notices(rows[r.doc_id])
+        assert {(s.label, s.first_word, s.end_word) for s in r.spans if not s.exact} == want
+        found += len(want)
+    assert found > 60
+    labels = {r.doc_id: r.labels for r in licenses.license_digest(docs).collect()}
+    assert labels[0] == labels[1] == "mit" and labels[2] == ""
+
+
+def test_digest_matches_sql_on_edited_notices(spark, tmp_path):
+    from tests.oracle import connect, same_rows
+
+    rows = [*edited_texts(), *texts()]
+    docs = spark.createDataFrame([*enumerate(rows), (0, rows[0]), (None, "cc by")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert same_rows(licenses.license_digest(docs), connect(tmp_path), licenses.digest_sql()) == len(rows) + 2
+
+
+def test_own_templates(spark):
+    own = [licenses.Template("own", ("some", "odd", "phrase"), True)]
+    docs = spark.createDataFrame([(1, "Some odd phrase. cc by")], "doc_id long, text string")
+    assert [[s.label for s in r.spans] for r in licenses.scan(docs, templates=own).collect()] == [["own"]]
