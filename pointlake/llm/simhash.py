@@ -4,16 +4,20 @@ Fingerprints are compared exactly: within a tile pair every pair of
 fingerprints is XOR-ed and its bits counted in numpy, and tile pairs whose
 population counts differ by more than the radius are skipped. Two
 fingerprints within radius r agree on at least one of r + 1 bit bands, so
-tiles are dealt to tasks by band value without losing a pair.
+tiles are dealt to tasks by band value without losing a pair; buckets of few
+fingerprints are compared by shifted copies instead of tiles.
 
-``near_duplicates`` links by fingerprint alone. ``near_duplicate_texts`` links by
-shingles: fingerprints within a wider radius are verified, and with ``beyond`` the
-similar pairs that fingerprints miss are found by an exact prefix filter.
+``near_duplicates`` links by fingerprint alone. ``near_duplicate_texts`` links all
+texts whose shingle sets are similar, whatever their fingerprints: fingerprint links
+and the leaders of shared shingles are verified first, which joins large groups of
+copies, and an exact prefix filter finds the pairs that are still apart.
 
 Edge cases: null or empty text, or text without a word, has fingerprint zero
 and links like any other. Repeated rows keep their own result row. A null id
-never becomes a component id unless its whole component has none. Extra input
-columns are ignored.
+never becomes a component id unless its whole component has none. Of several
+possible links the least nodes win, so results do not depend on order. Very long
+texts are fingerprinted whole, hashes 16,384 at a time. An empty table gives no
+rows. Extra input columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +28,10 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointlake.llm.common import arrow_map, as_bytes, bounded, cut, table
+from pointlake.llm.common import arrow_map, as_bytes, bounded, cut, join_rows, table, text_key
 from pointlake.llm.graph import connected_components
 
 BITS = 64
@@ -52,26 +56,18 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, with_text: bool = False) -> DataFrame:
-    """(id, fp): ``fp`` is the fingerprint's bits as a signed long.
-
-    With ``with_text`` also (node, size): the text's hash and its length in characters.
-    """
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """(id, fp): ``fp`` is the fingerprint's bits as a signed long."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             prints = [fingerprint(t, shingle) for t in as_bytes(batch.column("text"))]
-            signed = pa.array(np.array(prints, np.uint64).view(np.int64))
-            own = [batch.column(name) for name in ("node", "size") if with_text]
-            return pa.RecordBatch.from_arrays([batch.column("id"), signed, *own], names=["id", "fp", "node", "size"][: 2 + len(own)])
+            return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["id", "fp"])
 
         return step
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    if not with_text:
-        return arrow_map(slim, make, "id long, fp long")
-    slim = slim.withColumns({"node": F.xxhash64("text"), "size": F.char_length("text").cast("long")})
-    return arrow_map(slim, make, "id long, fp long, node long, size long")
+    return arrow_map(slim, make, "id long, fp long")
 
 
 def _merge(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -228,15 +224,13 @@ def near_duplicates(
     connected component of fingerprints linked at ``radius`` or fewer differing bits.
     """
     rows = cut(fingerprints(docs, id_col, text_col, shingle))
-    distinct = rows.groupBy("fp").agg(F.min("id").alias("first_id"))
+    distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")))
     stars = connected_components(link_edges(distinct.select("fp"), radius, piece_rows=piece_rows))
     joined = stars.join(distinct, stars.node == distinct.fp).select("node", "root", "first_id")
     least = joined.groupBy("root").agg(F.min("first_id").alias("least_id"))
     linked = joined.join(least, "root").select(F.col("node").alias("fp"), "least_id")
-    by_print = distinct.join(linked, "fp", "left").select(
-        "fp", F.coalesce("least_id", "first_id").alias("component_id")
-    )
-    return rows.join(by_print, "fp").select(
+    by_print = distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("least_id", "first_id").alias("component_id"))
+    return join_rows(rows, cut(by_print), "fp", "n", rows.count()).select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
@@ -263,81 +257,21 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return common >= least * (small + large - common)
 
 
-def verified_links(prints: np.ndarray, sets: list[np.ndarray], radius: int, least: float, tile: int = 512) -> list[tuple[int, int]]:
-    """Links that connect positions exactly as all pairs do that are near and similar.
+def frequent_shingles(docs: DataFrame, words: int, share: int = 16, least: int = 8, most: int = 1 << 18) -> np.ndarray:
+    """Hashes of shingles that many texts have, the rarest first, seen in one text of ``share``.
 
-    Nearer pairs come first, and pairs that verified links already connect are not
-    compared again, so a large group of copies costs little more than its size.
+    They only order shingles: any list gives the same pairs, this one gives few candidates.
     """
-    n = len(prints)
-    apart = np.empty((n, n), np.uint8)
-    for i in range(0, n, tile):
-        apart[i : i + tile] = np.bitwise_count(prints[i : i + tile, None] ^ prints[None, :])
-    apart[np.tri(n, dtype=bool)] = 255
-    label, out = np.arange(n), []
-    for distance in range(radius + 1):
-        pairs = np.argwhere(apart == distance)
-        for at in range(0, len(pairs), 4096):
-            some = pairs[at : at + 4096]
-            for x, y in some[label[some[:, 0]] != label[some[:, 1]]].tolist():
-                if label[x] != label[y] and similar(sets[x], sets[y], least):
-                    out.append((y, x))
-                    label[label == label[y]] = label[x]
-        apart[label[:, None] == label[None, :]] = 255
-    return out
-
-
-def _verify(radius: int, least: float):
-    """mapInArrow body over rows (bucket, node, fp, shingles) sorted by bucket."""
-
-    def edges_of(rows: pa.Table) -> pa.RecordBatch:
-        prints = rows.column("fp").to_numpy().view(np.uint64)
-        nodes = rows.column("node").to_numpy()
-        sets = [np.asarray(s.values) for s in rows.column("shingles")]
-        links = verified_links(prints, sets, radius, least)
-        a = pa.array([int(nodes[x]) for x, _ in links], pa.int64())
-        return pa.RecordBatch.from_arrays([a, pa.array([int(nodes[y]) for _, y in links], pa.int64())], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bucket = batch.column(0).to_numpy()
-            first = np.nonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))[0]
-            for start, stop in zip(first, np.append(first[1:], len(bucket)), strict=True):
-                if held and held[-1].column(0)[0].as_py() != bucket[start]:
-                    yield edges_of(pa.Table.from_batches(held))
-                    held = []
-                held.append(batch.slice(start, stop - start))
-        if held:
-            yield edges_of(pa.Table.from_batches(held))
-
-    return run
-
-
-def _shingled(texts: DataFrame, words: int) -> DataFrame:
-    """(node, fp, comp, pieces, shingles) from (node, fp, comp, pieces, text)."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_hashes(t, words) for t in as_bytes(batch.column(4))]
-            offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            shingles = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
-            return pa.RecordBatch.from_arrays([*batch.columns[:4], shingles], names=["node", "fp", "comp", "pieces", "shingles"])
+            sets = [shingle_hashes(t, words) for t in as_bytes(batch.column(0))]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *sets]))], names=["h"])
 
         return step
 
-    return arrow_map(texts, make, "node long, fp long, comp long, pieces long, shingles array<long>", slice_rows=128)
-
-
-def frequent_shingles(texts: DataFrame, words: int, share: int = 16, least: int = 8, most: int = 1 << 18) -> np.ndarray:
-    """Hashes of shingles that many texts have, the rarest first, seen in one text of ``share``.
-
-    They only order shingles: any list gives the same pairs, this one gives few candidates.
-    """
-    some = texts.filter(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(share)) == 0)
-    counts = _shingled(some, words).select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    some = arrow_map(docs.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text"), make, "h long", slice_rows=128)
+    counts = some.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     top = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(most).select("h").toArrow()
     return top.column("h").to_numpy()[::-1]
 
@@ -359,121 +293,124 @@ def prefix(shingles: np.ndarray, hot: np.ndarray, rank: np.ndarray, least: float
     return shingles[: n - int(np.ceil(n * (least - 1e-9))) + 1]
 
 
-def _prefixes(texts: DataFrame, words: int, least: float, frequent: np.ndarray) -> DataFrame:
-    """(h, node, comp, n, at): each text's prefix shingles, its number of shingles and their places."""
+SKETCH_BITS = 256
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """For each residue of the hashes modulo 256, whether their number is odd, as 32 bytes.
+
+    Two sets differ in at least as many shingles as their sketches in bits.
+    """
+    return np.packbits(np.bincount(shingles & (SKETCH_BITS - 1), minlength=SKETCH_BITS) & 1)
+
+
+def _signatures(docs: DataFrame, words: int, shingle: int, least: float, frequent: np.ndarray) -> DataFrame:
+    """(id, key, fp, n, sketch, heads) of rows (id, key, text); n is the number of shingles."""
     rank = np.argsort(frequent, kind="stable")
     hot = frequent[rank]
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_hashes(t, words) for t in as_bytes(batch.column("text"))]
+            texts = as_bytes(batch.column("text"))
+            prints = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+            sets = [shingle_hashes(t, words) for t in texts]
             heads = [prefix(s, hot, rank, least) for s in sets]
-            sizes = [len(h) for h in heads]
-            row = pa.array(np.repeat(np.arange(len(heads)), sizes))
-            own = [batch.column(c).take(row) for c in ("node", "comp")]
-            n = pa.array(np.repeat(np.array([len(s) for s in sets], np.int32), sizes))
-            at = pa.array(np.concatenate([np.empty(0, np.int32), *(np.arange(k, dtype=np.int32) for k in sizes)]))
-            h = pa.array(np.concatenate([np.empty(0, np.int64), *heads]))
-            return pa.RecordBatch.from_arrays([h, *own, n, at], names=["h", "node", "comp", "n", "at"])
+            offsets = np.cumsum([0, *map(len, heads)]).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *heads])))
+            marks = pa.array([sketch(s).tobytes() for s in sets], pa.binary())
+            n = pa.array([len(s) for s in sets], pa.int32())
+            columns = [batch.column("id"), batch.column("key"), pa.array(prints), n, marks, listed]
+            return pa.RecordBatch.from_arrays(columns, names=["id", "key", "fp", "n", "sketch", "heads"])
 
         return step
 
-    return arrow_map(texts, make, "h long, node long, comp long, n int, at int", slice_rows=128)
+    return arrow_map(docs, make, "id long, key binary, fp long, n int, sketch binary, heads array<long>", slice_rows=128)
 
 
-def _candidates(least: float):
-    """mapInArrow body over rows (h, node, comp, n, at) sorted by h: pairs that may be similar.
+def near_pairs(prints: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray, least: float, tile: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (x, y), x < y, of sets that meet and may be similar and are not of one component.
 
-    Two texts of one component are no candidates, nor are two whose sizes, or the
-    shingles after the common one, cannot reach the similarity.
+    ``prints`` (rows of uint64) are sketches, sorted by population count; ``n`` are the sets'
+    sizes and ``at`` the places of the shingle that they meet by. Sets of similarity ``least``
+    differ in (1 - least) / (1 + least) of their summed sizes at most, so in no more bits;
+    tile pairs whose population counts differ by more are skipped.
     """
-
-    def pairs_of(h, node, comp, alone, n, at):
-        found = []
-        here = np.arange(len(h))
-        for d in range(1, len(h)):
-            here = here[: np.searchsorted(here, len(h) - d)]
-            here = here[h[here + d] == h[here]]
-            if not len(here):
-                break
-            for part in np.array_split(here, len(here) // 1_000_000 + 1):
-                x, y = part, part + d
-                need = (n[x] + n[y]) * (least / (1 + least)) - 1e-6
-                fits = np.minimum(n[x] - at[x], n[y] - at[y]) >= need
-                fits &= (node[x] != node[y]) & (alone[x] | alone[y] | (comp[x] != comp[y]))
-                x, y = x[fits], y[fits]
-                if len(x):
-                    found.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1))
-            if sum(map(len, found)) > 1_000_000:
-                yield from _pair_batch(found)
+    ones = np.bitwise_count(prints).sum(1, dtype=np.int32)
+    share, after = (1 - least) / (1 + least), n - at
+    for i in range(0, len(n), tile):
+        a = slice(i, i + tile)
+        for j in range(i, len(n), tile):
+            b = slice(j, j + tile)
+            if ones[j] - ones[a][-1] > share * (n[a].max() + n[b].max()) + 1e-6:
+                continue
+            sizes = n[a][:, None] + n[b][None, :]
+            fits = np.minimum(after[a][:, None], after[b][None, :]) >= sizes * (least / (1 + least)) - 1e-6
+            fits &= comp[a][:, None] != comp[b][None, :]
+            if i == j:
+                fits &= ~np.tri(*fits.shape, dtype=bool)
+            x, y = np.nonzero(fits)
+            apart = np.bitwise_count(prints[a][x] ^ prints[b][y]).sum(1, dtype=np.int32)
+            close = apart <= share * sizes[x, y] + 1e-6
+            if close.any():
+                yield x[close] + i, y[close] + j
+
+
+def _short_pairs(bucket: np.ndarray, prints: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``near_pairs`` within many short runs of equal ``bucket`` at once, by comparing shifted copies."""
+    here = np.arange(len(bucket))
+    for d in range(1, len(bucket)):
+        here = here[here + d < len(bucket)]
+        here = here[bucket[here + d] == bucket[here]]
+        if not len(here):
+            return
+        x, y = here, here + d
+        sizes = n[x] + n[y]
+        fits = (np.minimum(n[x] - at[x], n[y] - at[y]) >= sizes * (least / (1 + least)) - 1e-6) & (comp[x] != comp[y])
+        x, y, sizes = x[fits], y[fits], sizes[fits]
+        close = np.bitwise_count(prints[x] ^ prints[y]).sum(1, dtype=np.int32) <= sizes * ((1 - least) / (1 + least)) + 1e-6
+        yield x[close], y[close]
+
+
+def _meetings(least: float, short: int = 64):
+    """mapInArrow body over rows (bucket, node, n, at, comp, sketch) sorted by bucket: pairs that may be similar."""
+
+    def pairs_of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        bucket, node, n, at, comp = (rows.column(c).to_numpy() for c in ("bucket", "node", "n", "at", "comp"))
+        prints = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
+        first = np.nonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))[0]
+        size = np.diff(np.append(first, len(bucket)))
+        small = np.nonzero(np.repeat(size <= short, size))[0]
+        found = [(small[x], small[y]) for x, y in _short_pairs(bucket[small], prints[small], n[small], at[small], comp[small], least)]
+        for start, many in zip(first[size > short], size[size > short], strict=True):
+            own = start + np.argsort(np.bitwise_count(prints[start : start + many]).sum(1), kind="stable")
+            found += [(own[x], own[y]) for x, y in near_pairs(prints[own], n[own], at[own], comp[own], least)]
+            if sum(len(x) for x, _ in found) > 500_000:
+                yield links(node, found)
                 found = []
-        yield from _pair_batch(found)
+        if found:
+            yield links(node, found)
+
+    def links(node: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        x, y = (node[np.concatenate(side)] for side in zip(*found, strict=True))
+        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            comp = batch.column(2)
-            rows = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), comp.fill_null(0).to_numpy(), comp.is_null().to_numpy(zero_copy_only=False)]
-            rows += [batch.column(k).to_numpy() for k in (3, 4)]
-            open_from = int(np.argmax(rows[0] == rows[0][-1]))
-            if held and held[-1][0][-1] != rows[0][0] or open_from:
-                ready = [*held, [c[:open_from] for c in rows]]
+            bucket = batch.column(0).to_numpy()
+            open_from = int(np.argmax(bucket == bucket[-1]))
+            if held and (held[-1].column(0)[-1].as_py() != bucket[0] or open_from):
+                yield from pairs_of([*held, batch.slice(0, open_from)])
                 held = []
-                yield from pairs_of(*(np.concatenate(side) for side in zip(*ready, strict=True)))
-            held.append([c[open_from:] for c in rows])
+            elif open_from:
+                yield from pairs_of([batch.slice(0, open_from)])
+            held.append(batch.slice(open_from))
         if held:
-            yield from pairs_of(*(np.concatenate(side) for side in zip(*held, strict=True)))
-
-    return run
-
-
-def _pair_batch(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    if found:
-        both = np.unique(np.concatenate(found), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
-
-
-def sketch(shingles: np.ndarray) -> bytes:
-    """For each residue of the hashes, two to four times as many as there are hashes, whether their number is odd."""
-    bits = max(1024, 1 << int(2 * len(shingles) - 1).bit_length()) if len(shingles) else 1024
-    return np.packbits(np.bincount(shingles & (bits - 1), minlength=bits) & 1).tobytes()
-
-
-def sketches_apart(left: bytes, right: bytes) -> int:
-    """In how many bits two sketches differ, the longer one folded; the sets differ in as many shingles or more."""
-    a, b = sorted((np.frombuffer(left, np.uint8), np.frombuffer(right, np.uint8)), key=len)
-    b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
-    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
-
-
-def _sketches(texts: DataFrame, words: int) -> DataFrame:
-    """(node, n, sketch): each set's size and sketch."""
-
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_hashes(t, words) for t in as_bytes(batch.column("text"))]
-            n = pa.array([len(s) for s in sets], pa.int32())
-            return pa.RecordBatch.from_arrays([batch.column("node"), n, pa.array([sketch(s) for s in sets], pa.binary())], names=["node", "n", "sketch"])
-
-        return step
-
-    return arrow_map(texts.select("node", "text"), make, "node long, n int, sketch binary", slice_rows=128)
-
-
-def _close_sketches(least: float):
-    """mapInArrow body over rows (a, b, n, m, left, right): pairs not shown to be apart.
-
-    Sets of similarity ``least`` differ in (1 - least) / (1 + least) of their summed sizes at most.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            apart = [sketches_apart(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
-            sizes = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
-            good = np.array(apart, np.int64) <= sizes * ((1 - least) / (1 + least)) + 1e-6
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+            yield from pairs_of(held)
 
     return run
 
@@ -490,32 +427,35 @@ def _similar_pairs(least: float):
     return run
 
 
-def prefix_links(texts: DataFrame, words: int, least: float) -> DataFrame:
-    """Edges (a, b) of all similar pairs of ``texts(node, fp, comp, pieces, text)`` in different components.
+def _shingled(texts: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of rows (node, text)."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingle_hashes(t, words) for t in as_bytes(batch.column(1))]
+            offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            shingles = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
+            return pa.RecordBatch.from_arrays([batch.column(0), shingles], names=["node", "shingles"])
+
+        return step
+
+    return arrow_map(texts, make, "node long, shingles array<long>", slice_rows=128)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """The rows of ``pairs`` (a, b) whose texts' whole shingle sets are similar.
 
-    Sets of similarity ``least`` share a shingle of their prefixes in any common order of
-    shingles, so the texts that meet by a prefix shingle hold every such pair. Candidates
-    are compared by sketches, which lose none, and then by their whole sets. Texts without a component have a null ``comp``.
+    ``texts`` has (node, id, key) of each distinct text, ``docs`` the rows (id, key, text).
     """
-    heads = _prefixes(texts.select("node", "comp", "text"), words, least, frequent_shingles(texts, words))
-    met = heads.repartition("h").sortWithinPartitions("h").mapInArrow(_candidates(least), "a long, b long")
-    pairs, held = _involved(cut(met.distinct()), texts)
-    sketches = cut(_sketches(held, words).dropDuplicates(["node"]))
-    left = sketches.select(F.col("node").alias("a"), "n", F.col("sketch").alias("left"))
-    right = sketches.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("right"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "left", "right")
-    pairs, held = _involved(cut(both.mapInArrow(_close_sketches(least), "a long, b long")), texts)
-    sets = cut(_shingled(held, words).select("node", "shingles").dropDuplicates(["node"]))
+    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    wanted = texts.join(nodes, "node", "left_semi").select("node", F.col("id").alias("own_id"), F.col("key").alias("own_key"))
+    met = docs.join(bounded(wanted, nodes.count()), (F.col("key") == F.col("own_key")) & F.col("id").eqNullSafe(F.col("own_id")))
+    # rows that repeat id and text give one set
+    sets = cut(_shingled(met.select("node", "text"), words).groupBy("node").agg(F.first("shingles").alias("shingles")))
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return both.mapInArrow(_similar_pairs(least), "a long, b long")
-
-
-def _involved(pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``pairs`` and the rows of ``texts`` that are in one."""
-    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    return pairs, texts.join(bounded(nodes, nodes.count()), "node", "left_semi").select("node", "fp", "comp", "pieces", "text")
+    return cut(both.mapInArrow(_similar_pairs(least), "a long, b long"))
 
 
 def near_duplicate_texts(
@@ -523,58 +463,89 @@ def near_duplicate_texts(
     id_col: str = "doc_id",
     text_col: str = "text",
     shingle: int = 3,
-    radius: int = 11,
+    radius: int = 3,
     words: int = 5,
     similarity: float = 0.8,
-    piece_rows: int = 32768,
-    piece_bytes: int = 8_000_000,
-    beyond: bool = False,
+    piece: int = 256,
 ) -> DataFrame:
-    """(id_col, fingerprint, component_id), linking texts by similarity, not by fingerprint alone.
-
-    The tiled comparison at a wide radius gathers candidates into coarse components; in
-    these, fingerprint pairs within the radius are verified: two texts link if the Jaccard
-    similarity of their ``words``-word shingle sets is at least ``similarity``. Equal texts
-    always link. A coarse component of more than ``piece_bytes`` bytes of shingles (4 KB at
-    least a text) is split into pieces, every pair of which is a task's work of its own.
-
-    With ``beyond`` texts link at that similarity whatever their fingerprints: what the
-    radius joins, large groups of copies above all, is joined first, and ``prefix_links``
-    finds the similar pairs that are still apart.
+    """(id_col, key, component_id, component_key): each row's component of similar texts.
+
+    Two texts link if the Jaccard similarity of their ``words``-word shingle sets is at
+    least ``similarity``; equal texts always do. ``key`` is the text's 128-bit key;
+    (component_id, component_key) is the least such pair of the component, null ids last.
+
+    Candidates come from three sources, in two rounds. First the tiled comparison of
+    fingerprints at ``radius``, and for each shingle of the texts' prefixes the text with
+    the least node that has it: what these links verify makes components. Then all pairs
+    of different components that share a prefix shingle, which hold every similar pair
+    that is left: they are compared by sketches in tiles, and the close ones verified. The
+    texts of a shared shingle are split into as many pieces as the square root of their
+    number over ``piece``, and every pair of pieces is work of its own.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = cut(fingerprints(slim, "id", "text", shingle, with_text=True))
-    texts = cut(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("id").alias("first_id"), F.max("size").alias("size")))
-    distinct = texts.groupBy("fp").agg(F.count(F.lit(1)).alias("texts"))
-    stars = connected_components(link_edges(distinct.select("fp"), radius, bands=4, flips=1, piece_rows=piece_rows))
-    alone = distinct.filter("texts > 1").join(stars, F.col("fp") == F.col("node"), "left_anti").select(F.col("fp").alias("node"), F.col("fp").alias("root"))
-    coarse = stars.union(alone).select(F.col("node").alias("fp"), F.col("root").alias("comp"))
-    members = cut(texts.join(coarse, "fp").select("node", "fp", "comp", "first_id", "size"))
-    weight = members.groupBy("comp").agg(F.ceil(F.sum(F.col("size") * 2 + 4096) / F.lit(piece_bytes)).cast("long").alias("pieces"))
-    wanted = members.join(weight, "comp").select("node", "fp", "comp", F.greatest("pieces", F.lit(1)).alias("pieces"), F.col("first_id").alias("id"))
-    with_node = slim.withColumn("node", F.xxhash64("text"))
-    same = [with_node["node"] == F.col("w.node"), with_node["id"].eqNullSafe(F.col("w.id"))]
-    held = with_node.join(bounded(wanted, members.count()).alias("w"), same)
-    shingled = _shingled(held.select("w.node", "w.fp", "w.comp", "w.pieces", "text"), words)
-    mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("pieces"))
-    dealt = shingled.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
-    bucket = F.xxhash64("comp", F.least("mine", "other"), F.greatest("mine", "other"))
-    sorted_rows = dealt.select(bucket.alias("bucket"), "node", "fp", "shingles").repartition("bucket").sortWithinPartitions("bucket")
-    near = connected_components(sorted_rows.mapInArrow(_verify(radius, similarity), "a long, b long"))
-    linked = near
-    if beyond:
-        known = texts.join(near.withColumnRenamed("root", "comp"), "node", "left")
-        known = cut(known.select("node", "fp", "comp", F.lit(1).cast("long").alias("pieces"), F.col("first_id").alias("id")))
-        whole = with_node.join(bounded(known, known.count()).alias("w"), same).select("w.node", "w.fp", "w.comp", "w.pieces", "text")
-        missed = prefix_links(whole, words, similarity)
-        linked = connected_components(near.select(F.col("node").alias("a"), F.col("root").alias("b")).union(missed))
-    joined = linked.join(texts.select("node", "first_id"), "node")
-    least = joined.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    by_root = joined.join(least, "root").select("node", "least_id")
-    by_text = texts.join(by_root, "node", "left").select("node", F.coalesce("least_id", "first_id").alias("component_id"))
-    return rows.join(by_text, "node").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text).alias("key"), text.alias("text"))
+    signed = _signatures(slim, words, shingle, similarity, frequent_shingles(slim, words))
+    one = signed.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), *[F.first(c).alias(c) for c in ("fp", "n", "sketch", "heads")])
+    # numbered once, in a written table
+    texts = cut(one.withColumn("node", F.monotonically_increasing_id()))
+
+    prints = cut(texts.groupBy("fp").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")))
+    by_print = prints.select(F.col("fp").alias("a"), F.col("node").alias("x"))
+    near = link_edges(prints.select("fp"), radius).join(by_print, "a").join(by_print.toDF("b", "y"), "b").select("x", "y")
+    same = texts.select("fp", "node").join(prints.filter("n > 1").select("fp", F.col("node").alias("first")), "fp").select("node", "first")
+    slots = texts.select("node", "n", F.posexplode("heads").alias("at", "h"))
+    shared = slots.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.min("node").alias("leader")).filter("texts > 1")
+    met = cut(slots.join(shared, "h"))
+    lead = met.filter("node = leader").select("h", F.col("n").alias("m"), F.col("at").alias("lead_at"))
+    after = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("lead_at"))
+    led = met.filter("node <> leader").join(lead, "h").filter(after >= (F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-6)
+    found = near.toDF("a", "b").unionAll(same).unionAll(led.select("node", "leader")).filter("a <> b")
+    first = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    known = texts.select("node", "id", "key")
+    stars = connected_components(verified(first, known, slim, words, similarity))
+
+    slot = met.select("h", "texts", "node", "n", "at").join(stars, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+    mixed = slot.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("h")
+    slot = slot.join(mixed, "h").join(texts.select("node", "sketch"), "node")
+    pieces = F.ceil(F.sqrt(F.col("texts") / F.lit(piece))).cast("long")
+    mine = F.pmod(F.xxhash64("node"), F.col("pieces"))
+    dealt = slot.withColumn("pieces", pieces).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    bucket = F.xxhash64("h", F.least("mine", "other"), F.greatest("mine", "other"))
+    rows = dealt.select(bucket.alias("bucket"), "node", "n", "at", "comp", "sketch")
+    second = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meetings(similarity), "a long, b long")
+    missed = verified(cut(second.distinct()), known, slim, words, similarity)
+    final = connected_components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(missed))
+
+    owner = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    member = texts.select("node", owner.alias("own")).join(final, "node")
+    least = member.groupBy("root").agg(F.min("own").alias("least"))
+    by_node = member.join(least, "root").select("node", "least")
+    by_text = texts.select("node", "key", "rows", owner.alias("own")).join(by_node, "node", "left")
+    found = by_text.select("key", "rows", F.coalesce("least", "own").alias("least")).select("key", "rows", F.col("least.id").alias("component_id"), F.col("least.key").alias("component_key"))
+    every = slim.select("id", "key")
+    total = texts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    return join_rows(every, cut(found), "key", "rows", total).select(F.col("id").alias(id_col), "key", "component_id", "component_key")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each component of similar texts: that with the least id, then text key.
+
+    Rows without an id come last. Of rows that repeat both, that with the least values in
+    the other columns stays.
+    """
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    key = [F.col(id_col).cast("long").alias("own_id"), text_key(F.coalesce(F.col(text_col), F.lit(""))).alias("own_key")]
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], *key)
+    groups = near_duplicate_texts(docs, id_col, text_col, **options).withColumnRenamed(id_col, "id")
+    stays = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("key") == F.col("component_key"))
+    fates = cut(groups.groupBy("id", "key").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("n")).filter("not stays or n > 1"))
+    many = fates.count()
+    own = lambda side: F.col("own_id").eqNullSafe(side["id"]) & (F.col("own_key") == side["key"])
+    once = rows.join(bounded(fates, many), own(fates), "left_anti")
+    repeated = fates.filter("stays")
+    several = rows.join(bounded(repeated, many), own(repeated), "left_semi").groupBy("own_id", "own_key").agg(F.min(F.struct(*names)).alias("row"))
+    back = [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
+    return once.select(*names).unionAll(several.select("row.*")).select(*back)
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,76 +93,78 @@ def plain_shingles(text):
 
 
 def plain_similar_components(texts):
+    """The least id of each text's component, by all pairs of whole shingle sets."""
     ids = sorted(texts)
-    prints = {i: plain_fingerprint(texts[i]) for i in ids}
     sets = {i: plain_shingles(texts[i]) for i in ids}
     root = {i: i for i in ids}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i in ids:
-        for j in ids:
-            if i < j:
-                both = len(sets[i] | sets[j])
-                close = (prints[i] ^ prints[j]).bit_count() <= 11 and 10 * len(sets[i] & sets[j]) >= 8 * both
-                if close or (texts[i] or "") == (texts[j] or ""):
-                    a, b = sorted((find(i), find(j)))
-                    root[b] = a
-    return {i: find(i) for i in ids}
+    for y in ids:
+        for x in ids:
+            if x < y and 10 * len(sets[x] & sets[y]) >= 8 * len(sets[x] | sets[y]) and root[x] != root[y]:
+                low, high = sorted((root[x], root[y]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return root
 
 
-def test_similar_texts_match_brute_force(spark):
-    rng = random.Random(14)
-    say = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+def similar_texts(seed):
+    rng = random.Random(seed)
+    say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
     texts = [None, "", " ", "one", "One", "a b c d", "a b  c d", "a b c e"]
-    for _ in range(40):
+    line = say(30)
+    for k in range(70):
         base = say(rng.randrange(5, 300))
         texts.append(" ".join(base))
-        for _ in range(rng.randrange(4)):
+        for _ in range(rng.randrange(3)):
             near = list(base)
             for _ in range(rng.randrange(1, 9)):
                 near[rng.randrange(len(near))] = "edit"
             texts.append(" ".join(near))
+        if k % 3 == 0:  # a repeated line weighs more in the fingerprint than in the set
+            texts += [" ".join(base + line), " ".join(base + line * 6)]
+        texts += [" ".join(base + say(len(base) // 5)), " ".join(base[: len(base) * 5 // 6])]
     hub = say(120)
-    texts += [" ".join([*hub[:k], "x", *hub[k:]]) for k in range(0, 120, 6)]
+    for k in range(150):  # near copies, some linked to none
+        near = list(hub)
+        for _ in range(rng.randrange(1, 10)):
+            near[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(near))
+    return texts
+
+
+def test_similar_texts_match_brute_force(spark):
+    texts = similar_texts(14)
     want = plain_similar_components(dict(enumerate(texts)))
-    assert len(set(want.values())) < len(texts) - 30
-    docs = spark.createDataFrame([*enumerate(texts), (9, texts[9])], "doc_id long, text string")
-    for options in ({}, {"piece_rows": 7, "piece_bytes": 30000}):
+    prints, sets = [plain_fingerprint(t) for t in texts], [plain_shingles(t) for t in texts]
+    beyond = sum((prints[x] ^ prints[y]).bit_count() > 11 and 10 * len(sets[x] & sets[y]) >= 8 * len(sets[x] | sets[y]) for y in range(len(texts)) for x in range(y))
+    assert beyond > 20 and 100 < len(set(want.values())) < len(texts) - 100
+    docs = spark.createDataFrame([*((i, t, "x") for i, t in enumerate(texts)), (9, texts[9], "x"), (9, texts[9], "x")], "doc_id long, text string, key string")
+    for options in ({}, {"piece": 1}):
         got = simhash.near_duplicate_texts(docs, **options).collect()
-        assert len(got) == len(texts) + 1
+        assert len(got) == len(texts) + 2
         assert {r.doc_id: r.component_id for r in got} == want
     assert simhash.near_duplicate_texts(docs.limit(0)).count() == 0
 
 
-def test_similar_texts_link_beyond_the_fingerprint_radius(spark):
-    rng = random.Random(3)
-    say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
-    line = say(30)
-    texts = []
-    for k in range(120):
-        base = say(rng.randrange(40, 160))
-        if k % 3 == 0:  # a repeated line weighs more in the fingerprint than in the set
-            texts += [base + line, base + line * 6]
-        texts += [base, base + say(len(base) // 5), base[: len(base) * 5 // 6]]
-    texts = [" ".join(t) for t in texts]
-    sets, prints = [plain_shingles(t) for t in texts], [plain_fingerprint(t) for t in texts]
-    root = list(range(len(texts)))
-    beyond = 0
-    for j in range(len(texts)):
-        for i in range(j):
-            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
-                beyond += (prints[i] ^ prints[j]).bit_count() > 11
-                low, high = sorted((root[i], root[j]))
-                root = [low if r == high else r for r in root]
-    assert beyond > 20
-    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_texts(docs, beyond=True).collect()}
-    assert got == dict(enumerate(root))
-    assert simhash.near_duplicate_texts(docs.limit(0), beyond=True).count() == 0
+def test_one_row_of_each_component_stays(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(5, base, "b"), (5, base, "a"), (3, base + " x", "c"), (None, base + " y", "d"), (7, "other text", "e"), (7, "another one", "f"), (None, "alone here", "g"), (None, None, "h"), (9, "", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [rows[2], rows[4], rows[5], rows[6], rows[8]]))
+    some = simhash.one_of_each(docs.filter("doc_id = 5")).collect()
+    assert [tuple(r) for r in some] == [(5, base, "a")]
+
+
+def test_tile_pairs_are_skipped(monkeypatch):
+    rng = np.random.default_rng(5)
+    prints = rng.integers(0, 1 << 63, 4000, dtype=np.uint64) & rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    prints[::2] |= rng.integers(0, 1 << 63, 2000, dtype=np.uint64)
+    prints = prints[np.argsort(np.bitwise_count(prints), kind="stable")]
+    compared, plain = [], np.nonzero
+    monkeypatch.setattr(simhash.np, "nonzero", lambda x: compared.append(x.shape) or plain(x))
+    simhash.tile_links(prints, 3, tile=64)
+    tiles = -(-4000 // 64)
+    assert 0 < len(compared) < tiles * (tiles + 1) // 2 // 2
 
 
 def test_sketches_differ_no_more_than_sets():
@@ -170,7 +172,8 @@ def test_sketches_differ_no_more_than_sets():
     for _ in range(200):
         a = np.unique(rng.integers(-(1 << 62), 1 << 62, rng.integers(0, 3000)))
         b = np.unique(np.append(a[rng.random(len(a)) > 0.1], rng.integers(-(1 << 62), 1 << 62, rng.integers(0, 900))))
-        assert simhash.sketches_apart(simhash.sketch(a), simhash.sketch(b)) <= len(np.setxor1d(a, b))
+        apart = np.bitwise_count(np.bitwise_xor(simhash.sketch(a), simhash.sketch(b))).sum()
+        assert apart <= len(np.setxor1d(a, b))
 
 
 def test_frequent_shingles_change_no_prefix_match():
