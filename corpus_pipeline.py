@@ -6,20 +6,20 @@ but the last return the columns of ``documents``. Which rows go:
 - ``language_id``: documents whose language is rejected (no letter, or margins
   too narrow). A missing ``lang`` is filled with the prediction.
 - ``near_dedup``: of each component of texts whose five-word shingles are 80 %
-  alike the row with the least doc_id stays; of repeated rows one.
+  alike one row stays, that with the least doc_id, then text key.
 - ``decontaminate``: documents that leak a benchmark item.
 - ``pii``: none; personal data and the terms that reveal it are generalised in
   ``text``, and ``n_chars`` follows.
 - ``bpe``: none; token ids, their count and the decoded text.
 
-Rows with a null doc_id are documents like any other; in ``near_dedup`` one of
-them stays only where its component has no id at all. Rows of one id are one
-document there: one of them stays.
+Rows with a null doc_id are documents like any other; in ``near_dedup`` they come
+after all ids. Rows of one id with different texts are different documents. Empty
+tables pass through all stages; very long texts are worked on whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointlake.llm import bpe, decontam, langid, pii, simhash
@@ -35,16 +35,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # a row without an id stands for itself, after all ids
-    own = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
-    rows = docs.select(*COLUMNS, F.coalesce("doc_id", own).alias("own_id"))
-    groups = simhash.near_duplicate_texts(rows, id_col="own_id", beyond=True)
-    kept = groups.filter("own_id = component_id").groupBy("own_id").count()
-    single = rows.join(kept.filter("count = 1"), "own_id", "left_semi")
-    several = rows.join(kept.filter("count > 1"), "own_id", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("own_id").orderBy("text", "lang", "source", "n_chars"))
-    first = several.withColumn("nth", nth).filter("nth = 1")
-    return single.select(*COLUMNS).unionByName(first.select(*COLUMNS))
+    return simhash.one_of_each(docs.select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,12 +66,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; between stages rows go through a written table."""
+    """All stages over ``documents``; between stages rows go through a written table.
+
+    A stage's table is deleted once the next one's is written; only the last, which the
+    result reads, stays.
+    """
     home = f"{ensure_checkpoint_dir(spark)}/pipeline-{spark.sparkContext.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}"
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for number, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
-            docs.write.parquet(f"{home}/{number}-{name}")
-            docs = spark.read.parquet(f"{home}/{number}-{name}")
+            docs.write.parquet(here := f"{home}/{number}-{name}")
+            if last:
+                path = spark._jvm.org.apache.hadoop.fs.Path(last)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            docs, last = spark.read.parquet(here), here
     return docs
