@@ -304,8 +304,24 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(shingles & (SKETCH_BITS - 1), minlength=SKETCH_BITS) & 1)
 
 
+def long_sketch(shingles: np.ndarray) -> np.ndarray:
+    """``sketch`` with two to four times as many residues as there are hashes, 1,024 at least."""
+    bits = max(1024, 1 << int(2 * len(shingles)).bit_length())
+    return np.packbits(np.bincount(shingles & (bits - 1), minlength=bits) & 1)
+
+
+def sketches_apart(left: bytes, right: bytes) -> int:
+    """In how many bits two long sketches differ, the longer one folded; the sets differ in as many shingles or more."""
+    a, b = sorted((np.frombuffer(left, np.uint8), np.frombuffer(right, np.uint8)), key=len)
+    b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+
+
 def _signatures(docs: DataFrame, words: int, shingle: int, least: float, frequent: np.ndarray) -> DataFrame:
-    """(id, key, fp, n, sketch, heads) of rows (id, key, text); n is the number of shingles."""
+    """(id, key, fp, n, sketch, mark, heads) of rows (id, key, text).
+
+    ``n`` is the number of shingles, ``mark`` their long sketch and ``heads`` their prefix.
+    """
     rank = np.argsort(frequent, kind="stable")
     hot = frequent[rank]
 
@@ -317,14 +333,14 @@ def _signatures(docs: DataFrame, words: int, shingle: int, least: float, frequen
             heads = [prefix(s, hot, rank, least) for s in sets]
             offsets = np.cumsum([0, *map(len, heads)]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *heads])))
-            marks = pa.array([sketch(s).tobytes() for s in sets], pa.binary())
+            marks = [pa.array([make_mark(s).tobytes() for s in sets], pa.binary()) for make_mark in (sketch, long_sketch)]
             n = pa.array([len(s) for s in sets], pa.int32())
-            columns = [batch.column("id"), batch.column("key"), pa.array(prints), n, marks, listed]
-            return pa.RecordBatch.from_arrays(columns, names=["id", "key", "fp", "n", "sketch", "heads"])
+            columns = [batch.column("id"), batch.column("key"), pa.array(prints), n, *marks, listed]
+            return pa.RecordBatch.from_arrays(columns, names=["id", "key", "fp", "n", "sketch", "mark", "heads"])
 
         return step
 
-    return arrow_map(docs, make, "id long, key binary, fp long, n int, sketch binary, heads array<long>", slice_rows=128)
+    return arrow_map(docs, make, "id long, key binary, fp long, n int, sketch binary, mark binary, heads array<long>", slice_rows=128)
 
 
 def near_pairs(prints: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray, least: float, tile: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -415,6 +431,19 @@ def _meetings(least: float, short: int = 64):
     return run
 
 
+def _close_sketches(least: float):
+    """mapInArrow body over rows (a, b, n, m, left, right): pairs not shown to be apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = [sketches_apart(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
+            sizes = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            good = np.array(apart, np.int64) <= sizes * ((1 - least) / (1 + least)) + 1e-6
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    return run
+
+
 def _similar_pairs(least: float):
     """mapInArrow body over rows (a, b, left, right): the pairs whose sets are similar."""
 
@@ -445,8 +474,13 @@ def _shingled(texts: DataFrame, words: int) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
     """The rows of ``pairs`` (a, b) whose texts' whole shingle sets are similar.
 
-    ``texts`` has (node, id, key) of each distinct text, ``docs`` the rows (id, key, text).
+    ``texts`` has (node, id, key, n, mark) of each distinct text, ``docs`` the rows (id, key,
+    text). Long sketches, which lose no similar pair, are compared before whole sets.
     """
+    left = texts.select(F.col("node").alias("a"), "n", F.col("mark").alias("left"))
+    right = texts.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("mark").alias("right"))
+    marked = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "left", "right")
+    pairs = cut(marked.mapInArrow(_close_sketches(least), "a long, b long"))
     nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     wanted = texts.join(nodes, "node", "left_semi").select("node", F.col("id").alias("own_id"), F.col("key").alias("own_key"))
     met = docs.join(bounded(wanted, nodes.count()), (F.col("key") == F.col("own_key")) & F.col("id").eqNullSafe(F.col("own_id")))
@@ -485,7 +519,7 @@ def near_duplicate_texts(
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text).alias("key"), text.alias("text"))
     signed = _signatures(slim, words, shingle, similarity, frequent_shingles(slim, words))
-    one = signed.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), *[F.first(c).alias(c) for c in ("fp", "n", "sketch", "heads")])
+    one = signed.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), *[F.first(c).alias(c) for c in ("fp", "n", "sketch", "mark", "heads")])
     # numbered once, in a written table
     texts = cut(one.withColumn("node", F.monotonically_increasing_id()))
 
@@ -501,7 +535,7 @@ def near_duplicate_texts(
     led = met.filter("node <> leader").join(lead, "h").filter(after >= (F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-6)
     found = near.toDF("a", "b").unionAll(same).unionAll(led.select("node", "leader")).filter("a <> b")
     first = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    known = texts.select("node", "id", "key")
+    known = texts.select("node", "id", "key", "n", "mark")
     stars = connected_components(verified(first, known, slim, words, similarity))
 
     slot = met.select("h", "texts", "node", "n", "at").join(stars, "node", "left").withColumn("comp", F.coalesce("root", "node"))
