@@ -1,38 +1,40 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items that share a seed of ``min_match`` words are
-joined. For each such pair the longest common unmarked runs of words are marked
-as tiles, longest first, until none of ``min_match`` words is left; runs are
-found by a running Karp-Rabin search whose window shrinks. A pair counts as a
-leak when tiles cover at least ``threshold`` of the item's words, in whatever
-order they stand in the document.
-
-Words are lower-cased; ASCII punctuation separates them. The benchmark is the
-stated query set: it is read in blocks of at most ``block_bytes`` bytes of text,
-each block is broadcast and matched with all documents, so nothing that is
-broadcast grows beyond that bound.
-
-Edge cases: null or empty texts match nothing. An item of fewer than
-``min_match`` words is sought whole. Repeated documents and repeated items each
-give their own rows. Ties between equally long runs go to the lesser item
-position, then document position. Extra columns are ignored.
+Documents and benchmark items that share a seed, a run of ``min_match`` words, are
+joined. For each such pair the longest common unmarked runs of words are marked as
+tiles, longest first, until none of ``min_match`` words is left; runs are found by a
+running Karp-Rabin search over the window length. A pair counts as a leak when tiles
+cover at least ``threshold`` of the item's words, in whatever order they stand in
+the document.
+
+Words are lower-cased; ASCII punctuation separates them. The seeds of the benchmark
+are a table. Only a bitmap of their hashes, of a fixed size whatever the
+benchmark, goes to all tasks; the document seeds that it lets pass meet the table by
+an equi-join, and no more than the texts of pairs with enough seeds are compared.
+
+Edge cases: null or empty texts match nothing. An item of fewer than ``min_match``
+words is sought whole. Repeated documents and repeated items each give their own
+rows. Ties between equally long runs go to the lesser item position, then document
+position. Very long texts, of one word repeated too, cost time in proportion to
+their length for each tile. Empty tables give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-from itertools import repeat
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointlake.llm.common import arrow_map, table
+from pointlake.llm.common import arrow_map, bounded, cut, table, text_key
 
 _PUNCTUATION = bytes.maketrans(bytes(b for b in range(128) if not chr(b).isalnum()), b" " * sum(not chr(b).isalnum() for b in range(128)))
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_hash = partial(xxhash.xxh64_intdigest, seed=1)
 #: Rows that a query returns for each leaking pair.
 PAIR_SCHEMA = "id long, item_id long, item_words int, matched_words int, n_tiles int, longest_tile int, coverage double, tiles array<struct<item_at:int,doc_at:int,words:int>>"
 
@@ -41,148 +43,219 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(_PUNCTUATION).split()
 
 
+def word_ids(text: str | None) -> np.ndarray:
+    """A 64-bit hash for each word."""
+    return np.fromiter(map(_hash, words_of(text)), np.uint64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(0, n - 1), base, np.uint64)]), dtype=np.uint64)
+
+
+class Windows:
+    """Karp-Rabin hashes, modulo 2**64, of all windows of a sequence for any length."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids = ids
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ids * _powers(_BASE, len(ids)), dtype=np.uint64)])
+        self.back = _powers(_INVERSE, len(ids))
+
+    def hashes(self, k: int) -> np.ndarray:
+        n = len(self.ids) - k + 1
+        if n <= 0:
+            return np.empty(0, np.uint64)
+        return (self.sums[k:] - self.sums[:-k]) * self.back[:n]
+
+
 def window_hashes(ids: np.ndarray, k: int) -> np.ndarray:
-    """Karp-Rabin hash of each window of ``k`` ids, modulo 2**64."""
-    n = len(ids) - k + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    wide = ids.astype(np.uint64)
-    out = np.zeros(n, np.uint64)
-    for at in range(k):
-        out = out * _BASE + wide[at : at + n]
-    return out
-
-
-def _free_windows(ids: np.ndarray, marked: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows of ``k`` that hold no marked word."""
-    if len(ids) < k:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    taken = np.concatenate([[0], np.cumsum(marked)])
-    starts = np.nonzero(taken[k:] == taken[:-k])[0]
-    return starts, window_hashes(ids, k)[starts]
-
-
-def _equal_runs(item: np.ndarray, doc: np.ndarray, item_marked: np.ndarray, doc_marked: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-    """Maximal unmarked equal runs of at least ``k`` words, as (item_at, doc_at, words)."""
-    i_at, i_hash = _free_windows(item, item_marked, k)
-    j_at, j_hash = _free_windows(doc, doc_marked, k)
-    near = np.isin(j_hash, i_hash)
-    j_at, j_hash = j_at[near], j_hash[near]
-    order = np.argsort(i_hash, kind="stable")
-    i_at, i_hash = i_at[order], i_hash[order]
-    low, high = np.searchsorted(i_hash, j_hash, "left"), np.searchsorted(i_hash, j_hash, "right")
-    many = high - low
-    j = np.repeat(j_at, many)
-    i = i_at[np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())] if len(many) else np.empty(0, np.int64)
-    same = np.ones(len(i), bool)
-    for at in range(k):
-        same &= item[i + at] == doc[j + at]
-    i, j = i[same], j[same]
-    order = np.lexsort((i, j - i))
-    i, j = i[order], j[order]
-    if not len(i):
-        return
-    new = np.concatenate([[True], (np.diff(i) != 1) | (np.diff(j - i) != 0)])
-    first = np.nonzero(new)[0]
-    for at, n in zip(first, np.diff(np.append(first, len(i))), strict=True):
-        yield int(i[at]), int(j[at]), int(n) + k - 1
+    """Hash of each window of ``k`` ids."""
+    return Windows(ids).hashes(k)
+
+
+class _Free:
+    """A sequence's unmarked words."""
+
+    def __init__(self, ids: np.ndarray):
+        self.windows, self.marked = Windows(ids), np.zeros(len(ids), bool)
+
+    def starts(self, k: int) -> np.ndarray:
+        """Starts of the windows of ``k`` that hold no marked word."""
+        taken = np.concatenate([[0], np.cumsum(self.marked)])
+        return np.nonzero(taken[k:] == taken[:-k])[0] if k < len(taken) else np.empty(0, np.int64)
+
+
+def _longest(item: _Free, doc: _Free, low: int, high: int) -> tuple[int, int, int] | None:
+    """The longest common unmarked run of ``low`` to ``high`` words, as (item_at, doc_at, words)."""
+
+    def shared(k: int) -> tuple[np.ndarray, np.ndarray] | None:
+        i, j = item.starts(k), doc.starts(k)
+        here, there = item.windows.hashes(k)[i], doc.windows.hashes(k)[j]
+        i = i[np.isin(here, there)]
+        return (i, j[np.isin(there, here)]) if len(i) else None
+
+    best = None
+    while low <= high:
+        k = (low + high) // 2
+        found = shared(k)
+        if found:
+            best, low = (k, *found), k + 1
+        else:
+            high = k - 1
+    if best is None:
+        return None
+    k, i, j = best
+    doc_hashes = doc.windows.hashes(k)[j]
+    for at in i.tolist():
+        for place in j[doc_hashes == item.windows.hashes(k)[at]].tolist():
+            if np.array_equal(item.windows.ids[at : at + k], doc.windows.ids[place : place + k]):
+                return at, place, k
+    return None
 
 
 def greedy_tiles(item: np.ndarray, doc: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
     """Tiles (item_at, doc_at, words) of greedy string tiling, longest first."""
-    item_marked, doc_marked = np.zeros(len(item), bool), np.zeros(len(doc), bool)
-    tiles, k = [], max(min_match, min(20, len(item)))
-    while True:
-        runs = list(_equal_runs(item, doc, item_marked, doc_marked, k))
-        longest = max((n for _, _, n in runs), default=0)
-        if longest > 2 * k:
-            k = longest
-            continue
-        heap = [(-n, i, j) for i, j, n in runs]
-        heapq.heapify(heap)
-        while heap:
-            n, i, j = heapq.heappop(heap)
-            n = -n
-            free = ~(item_marked[i : i + n] | doc_marked[j : j + n])
-            if free.all():
-                item_marked[i : i + n] = doc_marked[j : j + n] = True
-                tiles.append((i, j, n))
-                continue
-            # what is left of an overlapped run stands for itself
-            edge = np.diff(np.concatenate([[False], free, [False]]).astype(np.int8))
-            for a, b in zip(np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0], strict=True):
-                if b - a >= k:
-                    heapq.heappush(heap, (-int(b - a), i + int(a), j + int(a)))
-        if k == min_match:
-            return tiles
-        k = max(min_match, k // 2)
-
-
-class SeedIndex:
-    """Word ids and seeds of one block of benchmark items."""
-
-    def __init__(self, items: list[tuple[int, str]], min_match: int):
-        self.min_match = min_match
-        self.vocabulary: dict[bytes, int] = {}
-        self.items: list[tuple[int, np.ndarray]] = []
-        for item_id, text in items:
-            words = words_of(text)
-            if words:
-                ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-                self.items.append((item_id, np.array(ids, np.int64)))
-        by_width: dict[int, list[int]] = {}
-        for at, (_, ids) in enumerate(self.items):
-            by_width.setdefault(min(min_match, len(ids)), []).append(at)
-        #: For each seed width: sorted hashes, and the item and position each belongs to.
-        self.seeds = {}
-        for width, which in by_width.items():
-            hashes = [window_hashes(self.items[at][1], width) for at in which]
-            owner = np.repeat(which, [len(h) for h in hashes])
-            place = np.concatenate([np.arange(len(h)) for h in hashes])
-            flat = np.concatenate(hashes)
-            order = np.argsort(flat, kind="stable")
-            self.seeds[width] = flat[order], owner[order], place[order]
-
-    def leaks(self, text: str | None, threshold: float) -> Iterator[tuple]:
-        ids = np.fromiter(map(self.vocabulary.get, words_of(text), repeat(0)), np.int64)
-        for width, (hashes, owner, place) in self.seeds.items():
-            if len(ids) < width:
-                continue
-            known = np.concatenate([[0], np.cumsum(ids == 0)])
-            starts = np.nonzero(known[width:] == known[:-width])[0]
-            if not len(starts):
-                continue
-            found = window_hashes(ids, width)[starts]
-            low = np.searchsorted(hashes, found, "left")
-            hit = low < len(hashes)
-            hit[hit] = hashes[low[hit]] == found[hit]
-            if not hit.any():
-                continue
-            seen: dict[int, set[int]] = {}
-            for h in np.unique(found[hit]):
-                for at in range(np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")):
-                    seen.setdefault(int(owner[at]), set()).update(range(int(place[at]), int(place[at]) + width))
-            for at, covered in seen.items():
-                item_id, item = self.items[at]
-                # tiles cover no more than seeds do
-                if len(covered) < threshold * len(item):
+    a, b, tiles = _Free(item.astype(np.uint64)), _Free(doc.astype(np.uint64)), []
+    longest = min(len(item), len(doc))
+    while found := _longest(a, b, min_match, longest):
+        i, j, longest = found
+        a.marked[i : i + longest] = b.marked[j : j + longest] = True
+        tiles.append(found)
+    return tiles
+
+
+def shared_part(item: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of ``doc`` that stand in windows of ``width`` that the item has, and their places.
+
+    Runs that are not next to each other are parted by a word that no text has.
+    """
+    hits = np.nonzero(np.isin(window_hashes(doc, width), window_hashes(item, width)))[0]
+    inside = np.zeros(len(doc) + 1, np.int64)
+    np.add.at(inside, hits, 1)
+    np.add.at(inside, hits + width, -1)
+    at = np.nonzero(np.cumsum(inside[:-1]) > 0)[0]
+    gaps = np.nonzero(np.diff(at) > 1)[0] + 1
+    return np.insert(doc[at], gaps, np.uint64(0)), np.insert(at, gaps, -1)
+
+
+def tiles_of(item: np.ndarray, doc: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
+    """``greedy_tiles``, looking only at the part of ``doc`` that can match."""
+    width = min(min_match, len(item))
+    part, places = shared_part(item, doc, width)
+    return [(i, int(places[j]), n) for i, j, n in greedy_tiles(item, part, width)]
+
+
+def _seeds(items: DataFrame, min_match: int) -> DataFrame:
+    """(h, width, item, item_at, words): the seeds of (item, text)."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out: list[list] = [[np.empty(0, np.uint64)], [], [], [], []]
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = word_ids(text)
+                width = min(min_match, len(ids))
+                if width:
+                    hashes = window_hashes(ids, width)
+                    out[0].append(hashes)
+                    for column, values in zip(out[1:], ([width] * len(hashes), [item] * len(hashes), range(len(hashes)), [len(ids)] * len(hashes)), strict=True):
+                        column += values
+            types = [pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+            columns = [pa.array(np.concatenate(out[0]).view(np.int64)), *[pa.array(c, t) for c, t in zip(out[1:], types, strict=True)]]
+            return pa.RecordBatch.from_arrays(columns, names=["h", "width", "item", "item_at", "words"])
+
+        return step
+
+    return arrow_map(items, make, "h long, width int, item long, item_at int, words int")
+
+
+def _bitmap(seeds: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each residue modulo 2**``bits`` of the seeds' hashes: 2**``bits`` / 8 bytes at most reach the driver."""
+    residue = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
+    words = residue.alias("r"), F.shiftright(residue, 6).alias("word")
+    bit = F.expr("shiftleft(1L, cast(r & 63 as int))")
+    set_words = seeds.select(*words).groupBy("word").agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[set_words.column("word").to_numpy()] = set_words.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def _document_seeds(docs: DataFrame, widths: list[int], bitmap: np.ndarray) -> DataFrame:
+    """(id, key, width, hits) of rows (id, key, text) with hashes that the bitmap lets pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    mask = np.uint64(len(bitmap) * 64 - 1)
+
+    def make():
+        known = shared.value
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            row, found, each = [], [], []
+            for at, text in enumerate(batch.column(2).to_pylist()):
+                if not text:
                     continue
-                tiles = greedy_tiles(item, ids, width)
+                windows = Windows(word_ids(text))
+                for width in widths:
+                    hashes = windows.hashes(width)
+                    residue = hashes & mask
+                    hashes = np.unique(hashes[known[residue >> np.uint64(6)] >> (residue & np.uint64(63)) & np.uint64(1) == 1])
+                    if len(hashes):
+                        row.append(at)
+                        each.append(width)
+                        found.append(hashes.view(np.int64))
+            offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            hits = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
+            rows = pa.array(row, pa.int64())
+            columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(each, pa.int32()), hits]
+            return pa.RecordBatch.from_arrays(columns, names=["id", "key", "width", "hits"])
+
+        return step
+
+    return arrow_map(docs, make, "id long, key binary, width int, hits array<long>")
+
+
+def _tiled(texts: DataFrame, min_match: int, threshold: float) -> DataFrame:
+    """Leaking (key, item, ...) of rows (key, item, text, item_text)."""
+
+    def make():
+        held: tuple = ("", np.empty(0, np.uint64))
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            nonlocal held
+            rows = []
+            for key, item, text, item_text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held[0] != key:
+                    held = key, word_ids(text)
+                words = word_ids(item_text)
+                tiles = tiles_of(words, held[1], min_match)
                 matched = sum(n for _, _, n in tiles)
-                if matched >= threshold * len(item):
-                    yield item_id, len(item), matched, len(tiles), max(n for _, _, n in tiles), matched / len(item), tiles
-
-
-def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    block, size = [], 0
-    for row in items.toLocalIterator():
-        if block and size + len(row.text) > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((row.item_id, row.text))
-        size += len(row.text)
-    if block:
-        yield block
+                if tiles and matched >= threshold * len(words):
+                    listed = [{"item_at": i, "doc_at": j, "words": n} for i, j, n in tiles]
+                    rows.append((key, item, len(words), matched, len(tiles), max(n for _, _, n in tiles), matched / len(words), listed))
+            columns = zip(*rows, strict=True) if rows else [[]] * 8
+            types = [pa.binary(), pa.int64(), *[pa.int32()] * 4, pa.float64(), pa.list_(pa.struct([(n, pa.int32()) for n in ("item_at", "doc_at", "words")]))]
+            names = ["key", "item", "item_words", "matched_words", "n_tiles", "longest_tile", "coverage", "tiles"]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+        return step
+
+    return arrow_map(texts, make, "key binary, item long, " + PAIR_SCHEMA.split(", ", 2)[2], slice_rows=64)
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, min_match: int, threshold: float, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, key) of ``docs`` (id, key, text) with a seed; leaks (key, item, ...) of their texts; items (item, item_id)."""
+    items = cut(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").withColumn("item", F.monotonically_increasing_id()))
+    seeds = cut(_seeds(items.select("item", "text"), min_match))
+    widths = sorted(r[0] for r in seeds.select("width").distinct().collect())
+    rows = cut(_document_seeds(docs, widths, _bitmap(seeds, bits)))
+    hits = rows.groupBy("key", "width").agg(F.max("hits").alias("hits")).select("key", "width", F.explode("hits").alias("h"))
+    n = seeds.count()
+    # a seed covers ``width`` words at most, so too few of them cannot cover enough
+    enough = F.col("seeds") * F.col("width") >= threshold * F.col("words")
+    pairs = hits.join(bounded(seeds, n), ["h", "width"]).groupBy("key", "item", "width", "words").agg(F.count(F.lit(1)).alias("seeds")).filter(enough)
+    pairs = cut(pairs.select("key", "item"))
+    keys = cut(pairs.select("key").distinct())
+    texts = docs.join(bounded(keys, keys.count()), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+    both = pairs.join(items.select("item", F.col("text").alias("item_text")), "item").join(texts, "key")
+    found = cut(_tiled(both.select("key", "item", "text", "item_text"), min_match, threshold))
+    return rows.select("id", "key", "width"), found, items.select("item", "item_id")
 
 
 def leaking_pairs(
@@ -192,43 +265,26 @@ def leaking_pairs(
     text_col: str = "text",
     min_match: int = 5,
     threshold: float = 0.5,
-    block_bytes: int = 16_000_000,
+    bitmap_bits: int = 26,
 ) -> DataFrame:
     """One row for each (document, item) whose tiles cover ``threshold`` of the item."""
-    spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
-    out = spark.createDataFrame([], PAIR_SCHEMA)
-    for block in _blocks(items, block_bytes):
-        shared = spark.sparkContext.broadcast(SeedIndex(block, min_match))
-
-        def make(shared=shared):
-            index = shared.value
-
-            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-                rows = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    for *found, tiles in index.leaks(text, threshold):
-                        rows.append((doc_id, *found, [{"item_at": i, "doc_at": j, "words": n} for i, j, n in tiles]))
-                columns = zip(*rows, strict=True) if rows else [[]] * 8
-                types = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.float64(), pa.list_(pa.struct([(n, pa.int32()) for n in ("item_at", "doc_at", "words")]))]
-                names = ["id", "item_id", "item_words", "matched_words", "n_tiles", "longest_tile", "coverage", "tiles"]
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-
-            return step
-
-        out = out.union(arrow_map(slim, make, PAIR_SCHEMA))
-    return out.withColumnRenamed("id", id_col)
-
-
-def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that leak an item. Rows are told apart by id and text."""
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    rows, found, items = _leaks(slim, benchmark, min_match, threshold, bitmap_bits)
+    # a row stands once for each seed width; one of them speaks for it
+    first = rows.join(rows.groupBy("key").agg(F.min("width").alias("width")), ["key", "width"])
+    out = first.join(found, "key").join(items, "item")
+    return out.select(F.col("id").alias(id_col), *[c.split(" ")[0] for c in PAIR_SCHEMA.split(", ")[1:]])
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_match: int = 5, threshold: float = 0.5, bitmap_bits: int = 26) -> DataFrame:
+    """``docs`` without the rows whose text leaks an item."""
     names = [f"c{k}" for k in range(len(docs.columns))]
-    key = F.xxhash64(F.col(id_col), F.col(text_col)).alias("key")
-    keyed = docs.select(key, F.col(text_col).alias("text"))
-    leaks = leaking_pairs(keyed, benchmark, "key", "text", **options).select("key").distinct()
+    key = text_key(F.col(text_col)).alias("key")
+    _, found, _ = _leaks(docs.select(F.lit(0).cast("long").alias("id"), key, F.col(text_col).alias("text")), benchmark, min_match, threshold, bitmap_bits)
+    leaks = cut(found.select(F.col("key").alias("leak")).distinct())
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], key)
-    return rows.join(leaks, "key", "left_anti").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    kept = rows.join(bounded(leaks, leaks.count()), F.col("key") == F.col("leak"), "left_anti")
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
