@@ -161,7 +161,7 @@ class BpeModel:
         normal = self.tokenizer.normalizer.normalize_str(chunk) if self.tokenizer.normalizer else chunk
         return [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
 
-    def encode_chunk(self, chunk: str, room: int = 200_000) -> tuple[int, ...]:
+    def encode_chunk(self, chunk: str, room: int = 100_000) -> tuple[int, ...]:
         """Ids of a run of text without white space."""
         spans = self._special_split.split(chunk) if self._special_split and "<|" in chunk else [chunk]
         out: list[int] = []
@@ -178,7 +178,7 @@ class BpeModel:
                     out += ids
         return tuple(out)
 
-    def encode(self, text: str, room: int = 200_000) -> list[int]:
+    def encode(self, text: str, room: int = 100_000) -> list[int]:
         """Ids of a whole text. Words seen before in this process come from bounded caches."""
         split = _SPACES.split(text) if _SEPARATORS.search(text) else text.split()
         known, out = self.chunks, []

@@ -444,18 +444,6 @@ def _close_sketches(least: float):
     return run
 
 
-def _similar_pairs(least: float):
-    """mapInArrow body over rows (a, b, left, right): the pairs whose sets are similar."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            good = [similar(np.asarray(x.values), np.asarray(y.values), least) for x, y in zip(left, right, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return run
-
-
 def _shingled(texts: DataFrame, words: int) -> DataFrame:
     """(node, shingles) of rows (node, text)."""
 
@@ -477,8 +465,10 @@ def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, words: int, le
     ``texts`` has (node, id, key, n, mark) of each distinct text, ``docs`` the rows (id, key,
     text). Long sketches, which lose no similar pair, are compared before whole sets.
     """
-    left = texts.select(F.col("node").alias("a"), "n", F.col("mark").alias("left"))
-    right = texts.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("mark").alias("right"))
+    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    own = cut(texts.join(bounded(nodes, nodes.count()), "node", "left_semi").select("node", "n", "mark"))
+    left = own.select(F.col("node").alias("a"), "n", F.col("mark").alias("left"))
+    right = own.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("mark").alias("right"))
     marked = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "left", "right")
     pairs = cut(marked.mapInArrow(_close_sketches(least), "a long, b long"))
     nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
@@ -488,8 +478,8 @@ def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, words: int, le
     sets = cut(_shingled(met.select("node", "text"), words).groupBy("node").agg(F.first("shingles").alias("shingles")))
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return cut(both.mapInArrow(_similar_pairs(least), "a long, b long"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("left", "right")))
+    return cut(both.filter(F.col("common") >= least * (F.size("left") + F.size("right") - F.col("common"))).select("a", "b"))
 
 
 def near_duplicate_texts(
@@ -527,7 +517,8 @@ def near_duplicate_texts(
     by_print = prints.select(F.col("fp").alias("a"), F.col("node").alias("x"))
     near = link_edges(prints.select("fp"), radius).join(by_print, "a").join(by_print.toDF("b", "y"), "b").select("x", "y")
     same = texts.select("fp", "node").join(prints.filter("n > 1").select("fp", F.col("node").alias("first")), "fp").select("node", "first")
-    slots = texts.select("node", "n", F.posexplode("heads").alias("at", "h"))
+    # dealt by shingle once, for the count and the join
+    slots = texts.select("node", "n", F.posexplode("heads").alias("at", "h")).repartition("h")
     shared = slots.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.min("node").alias("leader")).filter("texts > 1")
     met = cut(slots.join(shared, "h"))
     lead = met.filter("node = leader").select("h", F.col("n").alias("m"), F.col("at").alias("lead_at"))
