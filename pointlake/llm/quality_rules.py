@@ -1,22 +1,25 @@
 """Quality rules under weak supervision.
 
-Each rule votes good (1) or bad (-1) or abstains (0). Expectation-maximisation
-over the table of vote patterns estimates how often each rule is right on good
-and on bad documents and how many documents are good; a document is kept
-when its posterior probability of being good is at least one half. The pattern
-table has at most 3 ** (number of rules) rows, whatever the corpus, and is all
-that reaches the driver.
+Each rule votes good (1) or bad (-1) on a document or abstains (0). Rules about one
+kind of defect form a family. For each family expectation-maximisation over the table
+of vote patterns estimates how often its rules cast each vote on sound and on
+defective documents and how many documents are sound; a document's quality is the
+probability that it has none of the defects, and it is kept from one half on. So a
+single wrong vote is outvoted by the rest of its family, and a rule counts as much as
+it agrees with them. The pattern table has at most 3 ** (number of rules) rows,
+whatever the corpus, and is all that reaches the driver.
 
 Edge cases: null, empty and wordless texts have zero counts and fail the base
-rules. Repeated rows keep their own result row. With no documents the priors
-stand. Extra columns are ignored.
+rules. Repeated rows keep their own result row. A quality of just one half is kept.
+Very long texts are counted whole. With no documents every quality is undefined and
+no row is returned. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from operator import add
+from operator import add, mul
 
 import numpy as np
 import pyarrow as pa
@@ -106,94 +109,90 @@ def _share(part: str, whole: str) -> Column:
 
 def rules() -> dict[str, Column]:
     """Votes as expressions over the count columns."""
-    never = F.lit(False)
-    length = _share("word_chars", "n_words")
+    graded = lambda share, good, bad: _vote(share <= good, share > bad)
+    length, closed, distinct, capitals = (_share(*of) for of in (("word_chars", "n_words"), ("n_closed_lines", "n_lines"), ("n_distinct", "n_words"), ("n_upper", "n_letters")))
     return {
-        "long_enough": _vote(F.col("n_words") >= 100, F.col("n_words") < 50),
-        "closed_lines": _vote(_share("n_closed_lines", "n_lines") >= 0.5, (F.col("n_lines") >= 3) & (F.col("n_closed_lines") == 0)),
-        "odd_words": _vote(never, (length < 2) | (length > 14)),
-        "symbols": _vote(never, _share("n_symbols", "n_words") > 0.1),
-        "symbol_runs": _vote(never, _share("n_runs", "n_words") > 0.1),
-        "bare_symbols": _vote(never, _share("n_bare", "n_words") > 0.1),
-        "copied_lines": _vote(never, _share("n_dup_lines", "n_lines") > 0.5),
-        "copied_words": _vote(never, _share("n_repeat_words", "n_words") > 0.25),
-        "few_words": _vote(never, _share("n_distinct", "n_words") < 0.15),
-        "capitals": _vote(never, _share("n_upper", "n_letters") > 0.5),
-        "shouting": _vote(never, _share("n_shouts", "n_words") > 0.2),
+        "symbols": graded(_share("n_symbols", "n_words"), 0.01, 0.1),
+        "symbol_runs": graded(_share("n_runs", "n_words"), 0.01, 0.1),
+        "bare_symbols": graded(_share("n_bare", "n_words"), 0.01, 0.1),
+        "copied_lines": graded(_share("n_dup_lines", "n_lines"), 0.2, 0.25),
+        "copied_words": graded(_share("n_repeat_words", "n_words"), 0.15, 0.2),
+        "few_words": _vote(distinct >= 0.5, distinct < 0.45),
+        "capitals": _vote((capitals >= 0.003) & (capitals <= 0.1), capitals > 0.3),
+        "shouting": graded(_share("n_shouts", "n_words"), 0.02, 0.2),
+        "closed_lines": _vote(closed >= 0.75, closed < 0.25),
+        "word_length": _vote((length >= 3) & (length <= 9), (length < 2) | (length > 14)),
     }
 
 
+#: The rules about each kind of defect.
+FAMILIES = {
+    "symbols": ("symbols", "symbol_runs", "bare_symbols"),
+    "repetition": ("copied_lines", "copied_words", "few_words"),
+    "case": ("capitals", "shouting", "symbol_runs"),
+    "form": ("closed_lines", "word_length", "capitals"),
+}
+
+
 @dataclass(frozen=True)
 class LabelModel:
-    """Prior of good, and the log odds that each rule's bad vote, good vote and abstention add.
+    """Share of sound documents, and the log odds of sound that each rule's votes -1, 0 and 1 add.
 
-    A judge's abstention adds nothing. ``right`` is how often each rule's votes agree
-    with the posterior.
+    ``right`` is how often each rule's votes agree with the posterior.
     """
 
     prior: float
-    bad_vote: tuple[float, ...]
-    good_vote: tuple[float, ...]
-    silence: tuple[float, ...]
+    odds: tuple[tuple[float, float, float], ...]
     right: tuple[float, ...]
 
-    def log_odds(self, votes: list[Column]) -> Column:
+    def probability(self, votes: list[Column]) -> Column:
         start = F.lit(float(np.log(self.prior / (1 - self.prior))))
-        terms = [
-            F.when(vote == -1, F.lit(bad)).when(vote == 1, F.lit(good)).otherwise(F.lit(none))
-            for vote, bad, good, none in zip(votes, self.bad_vote, self.good_vote, self.silence, strict=True)
-        ]
-        return reduce(add, terms, start)
+        terms = [F.element_at(F.array(*map(F.lit, each)), vote + 2) for vote, each in zip(votes, self.odds, strict=True)]
+        return 1 / (1 + F.exp(-reduce(add, terms, start)))
 
 
-def estimate(patterns: np.ndarray, weights: np.ndarray, rounds: int = 500, strength: float = 20.0) -> LabelModel:
+def estimate(patterns: np.ndarray, weights: np.ndarray, rounds: int = 300, smooth: float = 1.0) -> LabelModel:
     """Expectation-maximisation over distinct vote patterns (rows) and their counts.
 
-    A rule that only ever votes bad is a detector: its votes are weighed by how often it
-    fires on good and on bad documents. Any other rule is a judge, weighed by how often
-    each vote is right where it votes. EM starts from trust in a single bad vote and
-    moves as the rules agree or disagree; ``strength`` votes of that trust stay as a
-    prior, so a rule that hardly votes keeps it.
+    Starts from the majority of the votes; ``smooth`` is added to every count.
     """
-    good, bad = (patterns == 1).astype(float), (patterns == -1).astype(float)
-    judge = (weights @ good > 0).astype(bool)
-    is_good = np.where(bad.sum(1) == 0, 0.98, 0.1 ** np.maximum(bad.sum(1), 1))
-    prior, last = 0.9, None
-    bad_vote = good_vote = silence = np.zeros(patterns.shape[1])
+    cast = np.stack([(patterns == v).astype(float) for v in (-1, 0, 1)])
+    sound = ((cast[2].sum(1) + 1) / (cast[0].sum(1) + cast[2].sum(1) + 2)) if len(patterns) else np.empty(0)
+    prior, odds, last = 0.5, np.zeros((3, patterns.shape[1])), None
     for _ in range(rounds):
-        w1, w0 = weights * is_good, weights * (1 - is_good)
-        prior = float((w1.sum() + 0.9 * strength) / (weights.sum() + strength))
-        cast = np.where(judge, w1 @ (good + bad), w1.sum())
-        bad_on_good = (w1 @ bad + 0.01 * strength) / (cast + strength)
-        cast = np.where(judge, w0 @ (good + bad), w0.sum())
-        bad_on_bad = (w0 @ bad + 0.3 * strength) / (cast + strength)
-        bad_vote = np.log(bad_on_good / bad_on_bad)
-        otherwise = np.log((1 - bad_on_good) / (1 - bad_on_bad))
-        good_vote, silence = np.where(judge, otherwise, 0.0), np.where(judge, 0.0, otherwise)
-        now = np.log(prior / (1 - prior)) + bad @ bad_vote + good @ good_vote + (1 - good - bad) @ silence
-        is_good = 1 / (1 + np.exp(-now))
-        if last is not None and np.abs(now - last).max(initial=0) < 1e-6:
+        w1, w0 = weights * sound, weights * (1 - sound)
+        prior = float((w1.sum() + smooth) / (weights.sum() + 2 * smooth))
+        odds = np.log((w1 @ cast + smooth) / (w1.sum() + 3 * smooth)) - np.log((w0 @ cast + smooth) / (w0.sum() + 3 * smooth))
+        now = np.log(prior / (1 - prior)) + np.einsum("vpr,vr->p", cast, odds)
+        sound = 1 / (1 + np.exp(-now))
+        if last is not None and np.abs(now - last).max(initial=0) < 1e-9:
             break
         last = now
-    w1, w0 = weights * is_good, weights * (1 - is_good)
-    right = (w1 @ good + w0 @ bad + 0.9 * strength) / (weights @ (good + bad) + strength)
-    return LabelModel(prior, tuple(bad_vote.tolist()), tuple(good_vote.tolist()), tuple(silence.tolist()), tuple(right.tolist()))
+    w1, w0 = weights * sound, weights * (1 - sound)
+    right = (w1 @ cast[2] + w0 @ cast[0] + smooth) / (weights @ (cast[0] + cast[2]) + 2 * smooth)
+    return LabelModel(prior, tuple(map(tuple, odds.T.tolist())), tuple(right.tolist()))
 
 
-def fit(counted: DataFrame, votes: dict[str, Column]) -> LabelModel:
+def fit(counted: DataFrame, votes: dict[str, Column], families: dict[str, tuple[str, ...]]) -> dict[str, LabelModel]:
     seen = counted.select(*[v.alias(k) for k, v in votes.items()]).groupBy(*votes).count().orderBy(*votes).collect()
-    patterns = np.array([list(r)[:-1] for r in seen], np.int64).reshape(-1, len(votes))
-    return estimate(patterns, np.array([r["count"] for r in seen], float))
+    out = {}
+    for family, names in families.items():
+        many: dict[tuple[int, ...], int] = {}
+        for r in seen:
+            pattern = tuple(r[n] for n in names)
+            many[pattern] = many.get(pattern, 0) + r["count"]
+        out[family] = estimate(np.array(sorted(many), np.int64).reshape(-1, len(names)), np.array([many[p] for p in sorted(many)], float))
+    return out
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_from: float = 0.5) -> DataFrame:
-    """(id_col, counts, votes, quality, kept): ``quality`` is the posterior of being good."""
+    """(id_col, counts, votes, quality, kept): ``quality`` is the probability of no defect."""
     counted = cut(document_counts(docs, id_col, text_col))
     votes = rules()
-    model = fit(counted, votes)
+    models = fit(counted, votes, FAMILIES)
     voted = counted.select("*", *[v.alias(f"vote_{k}") for k, v in votes.items()])
-    odds = model.log_odds([F.col(f"vote_{k}") for k in votes])
-    return voted.withColumn("quality", 1 / (1 + F.exp(-odds))).withColumn("kept", F.col("quality") >= keep_from)
+    sound = [models[family].probability([F.col(f"vote_{n}") for n in names]) for family, names in FAMILIES.items()]
+    return voted.withColumn("quality", reduce(mul, sound)).withColumn("kept", F.col("quality") >= keep_from)
 
 
 def verdicts(docs: DataFrame) -> DataFrame:

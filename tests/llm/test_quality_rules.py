@@ -1,7 +1,10 @@
+import math
 import random
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from pointlake.llm import quality_rules as q
 
@@ -55,14 +58,53 @@ def test_em_recovers_planted_accuracies():
     assert np.abs(np.array(model.right) - accuracy).max() < 0.04
 
 
-def test_detectors_that_clash_with_the_rest_lose_weight():
+def test_a_rule_that_clashes_with_the_rest_loses_weight():
     rng = np.random.default_rng(2)
-    n = 20000
-    truth = rng.random(n) < 0.8
-    fires = lambda on_good, on_bad: np.where(rng.random(n) < np.where(truth, on_good, on_bad), -1, 0)
-    votes = np.stack([fires(0.01, 0.8), fires(0.01, 0.8), fires(0.01, 0.8), fires(0.1, 0.1)], axis=1)
+    truth = rng.random(20000) < 0.8
+    right = rng.random((20000, 4)) < np.array([0.95, 0.95, 0.95, 0.5])
+    votes = np.where(right == truth[:, None], 1, -1)
     model = q.estimate(*[x.astype(float) if k else x for k, x in enumerate(np.unique(votes, axis=0, return_counts=True))])
-    assert max(model.bad_vote[:3]) < -2 and model.bad_vote[3] > -0.5
+    assert max(each[0] for each in model.odds[:3]) < -2 < -0.3 < model.odds[3][0]
+
+
+def plain_posterior(votes, rounds=300):
+    """Expectation-maximisation over single documents, rule by rule."""
+    sound = [(v.count(1) + 1) / (v.count(1) + v.count(-1) + 2) for v in votes]
+    for _ in range(rounds):
+        n1 = sum(sound)
+        n0 = len(votes) - n1
+        odds = [math.log((n1 + 1) / (n0 + 1))] * len(votes)
+        for rule in range(len(votes[0])):
+            for cast in (-1, 0, 1):
+                on = [k for k, v in enumerate(votes) if v[rule] == cast]
+                one, none = sum(sound[k] for k in on), sum(1 - sound[k] for k in on)
+                for k in on:
+                    odds[k] += math.log((one + 1) / (n1 + 3) / ((none + 1) / (n0 + 3)))
+        new = [1 / (1 + math.exp(-o)) for o in odds]
+        if max(abs(x - y) for x, y in zip(sound, new, strict=True)) < 1e-12:
+            break
+        sound = new
+    return sound
+
+
+def test_verdicts_match_em_over_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = q.judge(docs).collect()
+    quality = [1.0] * len(rows)
+    for names in q.FAMILIES.values():
+        quality = [a * b for a, b in zip(quality, plain_posterior([tuple(r[f"vote_{n}"] for n in names) for r in rows]), strict=True)]
+    assert [r.quality for r in rows] == pytest.approx(quality, abs=1e-4)
+    assert [r.kept for r in rows] == [x >= 0.5 for x in quality]
+
+
+def test_posterior_outvotes_single_rules_and_agrees_better_with_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet") for name in ("documents", "labels"))
+    votes = [f"vote_{k}" for k in q.rules()]
+    judged = q.judge(docs).withColumn("all_pass", F.least(*votes) >= 0).join(labels.groupBy("doc_id").agg(F.min("quality").alias("label")), "doc_id", "left")
+    apart = judged.filter("kept <> all_pass")
+    assert apart.count() >= 10 and apart.filter("label is not null").count() >= 5
+    agree = judged.filter("label is not null").agg(F.avg(F.expr("int(kept = (label = 1))")).alias("kept"), F.avg(F.expr("int(all_pass = (label = 1))")).alias("all")).first()
+    assert agree.kept > agree["all"] > 0.9
 
 
 def test_junk_goes_and_prose_stays(spark):
