@@ -4,20 +4,23 @@ A logistic model is fitted on trusted positives and unlabelled web text with the
 non-negative unbiased risk estimator: the risk on negatives is the unlabelled
 risk less the share that positives explain, and where that difference turns
 negative the fit steps back instead of over-fitting. The class prior is estimated
-from the same samples as the least ratio of unlabelled to positive mass over
-score ranges, which bounds the share of positives among the unlabelled.
+as the least ratio of unlabelled to positive mass over score ranges, which bounds the
+share of positives among the unlabelled; both masses are counted over all training rows
+but those that the ranking itself was fitted on.
 
 Features of a text are the square-rooted shares of its pairs of byte classes
 (letters, digits, capitals, each punctuation mark, white space, other), and a few
 shape measures. All are computed over the whole text.
 
 Fitting uses a bounded sample: the ``sample_docs`` positives and as many
-unlabelled documents with the least hash of the id. Scoring covers every row.
+unlabelled documents with the least hash of the id, one text an id (that with the
+least hash). Scoring, and the masses of the prior, cover every row.
 
 Edge cases: null text counts as empty; empty texts get the model's score for no
 features. Conflicting labels of one id count as positive only if all are 1. With
 no positive to learn from every score is 0.5. Rows with a null id are held out.
-Repeated rows keep their own result row; extra columns are ignored.
+Equal scores are of equal rank. Very long texts are read whole. An empty table gives
+no rows. Repeated rows keep their own result row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointlake.llm.common import arrow_map, as_bytes, doc_fold, table
+from pointlake.llm.common import arrow_map, as_bytes, bounded, cut, doc_fold, table
 
 CLASSES = 64
 SHAPES = 6
@@ -121,69 +124,90 @@ def _train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: i
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least_mass: float = 0.2) -> float:
     """Upper bound on the share of positives: least unlabelled / positive mass above any score.
 
-    Only score ranges with ``least_mass`` of the positives are looked at, so that chance
-    in the far tail does not set the bound.
+    Both are counts of rows by score range, the lowest first. Only ranges with
+    ``least_mass`` of the positives are looked at, so that chance in the far tail does not
+    set the bound.
     """
-    cuts = np.quantile(positive, np.linspace(0, 1 - least_mass, 41))
-    share = lambda scores: np.array([(scores >= c).mean() for c in cuts])
-    return float(np.clip((share(unlabelled) / np.maximum(share(positive), 1e-9)).min(), 0.05, 0.98))
+    above = lambda n: np.cumsum(n[::-1])[::-1] / max(1, n.sum())
+    p, u = above(positive), above(unlabelled)
+    seen = p >= least_mass
+    return float(np.clip((u[seen] / p[seen]).min(initial=1.0), 0.05, 0.98))
 
 
-def fit_samples(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 600, rate: float = 0.2, decay: float = 1e-6) -> PuModel:
-    """Prior from a positive-against-unlabelled fit, then the non-negative PU fit.
+BINS = 1000
 
-    Rows are features and a last column of ones.
-    """
-    if not len(positive) or not len(unlabelled):
-        return PuModel(np.zeros(WIDTH, np.float32), 0.0, 0.5)
-    # half of each sample fits the score, the other half measures it
-    halves = lambda x: (x[::2], x[1::2] if len(x) > 1 else x)
-    (p_fit, p_see), (u_fit, u_see) = halves(positive), halves(unlabelled)
-    rough, _ = _train(p_fit, u_fit, 0.5, 100, rate, 1e-4)
-    prior = estimate_prior(p_see[:, :-1] @ rough, u_see[:, :-1] @ rough)
+
+def rough_model(positive: np.ndarray, unlabelled: np.ndarray, rate: float = 0.2) -> PuModel:
+    """A fit of positives against unlabelled rows, whose scores rank documents for the prior."""
+    weights, bias = _train(positive, unlabelled, 0.5, 100, rate, 1e-4)
+    return PuModel(weights, bias, 0.5)
+
+
+def fit_samples(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 600, rate: float = 0.2, decay: float = 1e-6) -> PuModel:
+    """The non-negative PU fit. Rows are features and a last column of ones."""
     weights, bias = _train(positive, unlabelled, prior, rounds, rate, decay)
     return PuModel(weights, bias, prior)
 
 
 def _featured(texts: DataFrame) -> DataFrame:
-    """(which, raw): features as half-precision bytes, of rows (which, text)."""
+    """(which, id, raw): features as half-precision bytes, of rows (which, id, text)."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            raw = [features(t).astype(np.float16).tobytes() for t in as_bytes(batch.column(1))]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["which", "raw"])
+            raw = [features(t).astype(np.float16).tobytes() for t in as_bytes(batch.column(2))]
+            return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(raw, pa.binary())], names=["which", "id", "raw"])
 
         return step
 
-    return arrow_map(texts, make, "which string, raw binary")
+    return arrow_map(texts.withColumn("id", F.col("id").cast("long")), make, "which string, id long, raw binary")
+
+
+def sure_positives(labels: DataFrame) -> DataFrame:
+    return labels.groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("least")).filter("least = 1").select("id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 4096) -> PuModel:
     """The model from rows where ``train`` holds; of ``labels`` only sure positives are used."""
-    ids = docs.filter(train).select(F.col(id_col).alias("id"))
-    sure = labels.groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("least")).filter("least = 1").select("id")
-    least = lambda rows: rows.distinct().orderBy(F.xxhash64("id"), "id").limit(sample_docs)
+    rows = docs.filter(train).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    ids = cut(rows.groupBy("id").agg(F.min("h").alias("h")))
+    sure = cut(sure_positives(labels))
+    least = lambda some: some.orderBy(F.xxhash64("id"), "id").limit(sample_docs)
     positives = least(ids.join(sure, "id", "left_semi")).withColumn("which", F.lit("p"))
     unlabelled = least(ids).withColumn("which", F.lit("u"))
-    # at most 2 * sample_docs rows
+    # at most 2 * sample_docs rows, and as many texts
     chosen = F.broadcast(positives.union(unlabelled))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = _featured(texts.join(chosen, "id").select("which", "text")).toArrow()
-    which, raw = rows.column("which").to_pylist(), rows.column("raw").to_pylist()
-    del rows
+    found = _featured(rows.join(chosen, ["id", "h"]).select("which", "id", "text"))
+    half = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2))
+    sampled = found.groupBy("which", "id").agg(F.min("raw").alias("raw")).withColumn("half", half).toArrow()
+    which, raw, halves = (sampled.column(c).to_pylist() for c in ("which", "raw", "half"))
+    del sampled
     order = sorted(range(len(raw)), key=lambda k: (which[k], raw[k]))
     np.random.default_rng(0).shuffle(order)
 
-    def sample(kind: str) -> np.ndarray:
-        own = [k for k in order if which[k] == kind]
+    def sample(kind: str, some: tuple[int, ...] = (0, 1)) -> np.ndarray:
+        own = [k for k in order if which[k] == kind and halves[k] in some]
         out = np.ones((len(own), WIDTH + 1), np.float32)
         for at, k in enumerate(own):
             out[at, :-1] = np.frombuffer(raw[k], np.float16)
         return out
 
     positive, unknown = sample("p"), sample("u")
-    del raw
-    return fit_samples(positive, unknown)
+    if not len(positive):
+        return PuModel(np.zeros(WIDTH, np.float32), 0.0, 0.5)
+    fitted = [x if len(x) else whole for x, whole in ((sample("p", (0,)), positive), (sample("u", (0,)), unknown))]
+    others = rows.join(F.broadcast(chosen.filter(half == 0).select("id").distinct()), "id", "left_anti")
+    return fit_samples(positive, unknown, _corpus_prior(others, sure, rough_model(*fitted)))
+
+
+def _corpus_prior(rows: DataFrame, sure: DataFrame, rough: PuModel) -> float:
+    """``estimate_prior`` from the scores of all ``rows`` and of the positives among them."""
+    scored = classify(rows, rough, "id").select("id", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
+    marked = scored.join(bounded(sure.withColumn("sure", F.lit(True)), sure.count()), "id", "left")
+    found = marked.groupBy("bin").agg(F.count(F.lit(1)).alias("all"), F.count("sure").alias("sure")).collect()
+    everything, positive = np.zeros(BINS), np.zeros(BINS)
+    for r in found:
+        everything[r["bin"]], positive[r["bin"]] = r["all"], r["sure"]
+    return estimate_prior(positive, everything)
 
 
 def classify(docs: DataFrame, model: PuModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

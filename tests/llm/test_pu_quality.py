@@ -37,7 +37,8 @@ def test_prior_is_bounded_by_the_mixture():
     rng = np.random.default_rng(5)
     positive = rng.normal(2, 1, 4000)
     unlabelled = np.where(rng.random(4000) < 0.6, rng.normal(2, 1, 4000), rng.normal(-2, 1, 4000))
-    assert abs(pu.estimate_prior(positive, unlabelled) - 0.6) < 0.05
+    counted = [np.histogram(x, bins=200, range=(-7, 7))[0] for x in (positive, unlabelled)]
+    assert abs(pu.estimate_prior(*counted) - 0.6) < 0.05
 
 
 def test_held_out_labels_do_not_matter(spark):
@@ -54,3 +55,35 @@ def test_nothing_to_learn_from(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.score for r in pu.quality_scores(docs, none).collect()] == [0.5]
     assert pu.quality_scores(docs.limit(0), none).count() == 0
+
+
+def test_one_text_an_id_is_fitted(spark):
+    rows, labels = corpus(200)
+    schema, lab = "doc_id long, text string", spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    hot = next(i for i, q, _ in labels if q == 1 and zlib.crc32(str(i).encode()) % 3 != 1)
+    many = spark.createDataFrame(rows, schema).unionAll(spark.range(20_000).selectExpr(f"{hot}L as doc_id", "concat('row ', id) as text"))
+    shown = []
+    plain = pu._featured
+    pu._featured = lambda texts: shown.append(texts.count()) or plain(texts)
+    try:
+        pu.fit(many, lab, ~pu.held_out(), sample_docs=50)
+    finally:
+        pu._featured = plain
+    assert shown == [min(100, shown[0])]
+
+
+def rank_quality(scores, truth):
+    """Area under the curve: how often a good document outranks a bad one."""
+    order = np.argsort(scores, kind="stable")
+    ranks = np.empty(len(scores))
+    ranks[order] = np.arange(len(scores))
+    good = truth.sum()
+    return (ranks[truth].sum() - good * (good - 1) / 2) / (good * (~truth).sum())
+
+
+def test_held_out_labels_of_the_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet") for name in ("documents", "labels"))
+    held = pu.quality_scores(docs, labels).filter("held_out").join(labels, "doc_id").select("score", "quality").toPandas()
+    assert len(held) > 1000
+    outranks, agrees = rank_quality(held.score.to_numpy(), (held.quality == 1).to_numpy()), ((held.score >= 0.5) == (held.quality == 1)).mean()
+    assert outranks > 0.95 and agrees > 0.9, (outranks, agrees)
