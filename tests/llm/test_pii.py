@@ -131,3 +131,23 @@ def test_revealing_terms_go_wherever_they_stand(spark):
     assert got[5000] == f"{far} [TERM], kontakt2 xKontakt [TERM]"
     assert sorted(t for i, t in out if i == 6000) == sorted([f"{got[0]} {far} [TERM] [EMAIL]", "[TERM]"])
     assert got[2] == rows[2][1]
+
+
+def test_revealing_terms_count_however_far_they_stand(spark):
+    rng = random.Random(6)
+    say = lambda n: " ".join(rng.choice(["plain", "words", "and", "the", "rest"]) for _ in range(n))
+    rows = [(i, f"Impressum {say(120)} mail a{i}@b.example {say(9)} impressum") if i % 9 == 0 else (i, f"{say(40)} w{i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.span_digest(docs).collect()}
+    for i, text in rows:
+        assert ("term:0:9" in got[i]) == (i % 9 == 0) == (f"term:{len(text) - 9}:{len(text)}" in got[i])
+
+
+def test_many_matches_are_placed_in_time(spark):
+    one = "x 10.0.0.1 a@b.co, +4912345678 "
+    docs = spark.createDataFrame([(1, one * 20_000), (2, "1" * 1_000_000), (3, "y" * 1_000_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.span_digest(docs).collect()}
+    assert (got[1].n_ip, got[1].n_email, got[1].n_phone) == (20_000, 20_000, 20_000) and got[2].spans == got[3].spans == ""
+    assert got[1].base_sha256 == hashlib.sha256(",".join(plain_spans(one * 20_000)).encode()).hexdigest()
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[1] == "x [IP] [EMAIL], [PHONE] " * 20_000 and len(clean[2]) == len(clean[3]) == 1_000_000
