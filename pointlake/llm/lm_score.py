@@ -2,22 +2,26 @@
 
 The model predicts bytes of the lower-cased words joined by single spaces, then
 one end byte. A byte is eight binary decisions; each decision has its own tree of
-contexts of zero to three preceding bytes. Every context holds a
+contexts of zero to five preceding bytes. Every context holds a
 Krichevsky-Trofimov estimate, and context-tree weighting mixes the estimates of
-all depths by how well each explained the training bytes. A context deeper than
-one byte gets a node of its own when it holds at least 1 / ``max_contexts`` of
-all training bytes, so there are at most ``max_contexts`` a depth however large
-the corpus; rarer siblings share one node. That bounds what is collected and
-broadcast; all training bytes are counted.
+all depths by how well each explained the training bytes. Every context that the
+training texts have is a node, so the tree grows with the corpus.
+
+The tree is a table of counts, dealt by the last three context bytes: all deeper
+contexts of these meet in one task (at most 2**24 strings, whatever the corpus), and
+the contexts of two bytes and less, of which there are 2**16, are summed up and held by
+the driver. The ``frequent`` most frequent strings of context and byte are looked up in
+a broadcast table; all others are answered by the table's tasks and joined by shuffle.
 
 For the base score, words that make up at least 1 / ``frequent`` of the training
 tokens (hence at most ``frequent`` words) are looked up in a broadcast table; all
 others are joined by shuffle. The end of a text is a token of its own.
 
-Edge cases: null text counts as empty: one token, the end. Rows of one id and
-text are computed together and returned as often as they occur. With no training
-row every token has count 0. A null id is never trained on and is held out.
-Extra columns are ignored.
+Edge cases: null text counts as empty: one token, the end. Every row has a number of
+its own, so repeated rows keep their result row. With no training row every token has
+count 0 and every byte decision chance one half. A null id is never trained on and is
+held out. Very long texts are worked on whole, a megabyte of texts at a time. An empty
+table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,9 +38,12 @@ from pyspark.sql import functions as F
 
 from pointlake.llm.common import as_bytes, cut, doc_fold, table
 
-DEPTH = 3
+DEPTH = 5
+#: Context bytes by which the tree's table is dealt to tasks.
+DEALT = 3
 END = b"\n"
-_GRAM, _WORD = 1, 0
+#: Key of a row that is no word, and code of one that is no string of bytes.
+NO_WORD, NO_CODE = b"", -1
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -61,13 +68,16 @@ def _blocks(texts: list[bytes], block_bytes: int = 1_000_000) -> Iterator[tuple[
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Code (three context bytes, then the byte) of every byte of ``texts``, and each text's first place.
+    """Code of every byte of ``texts``, and each text's first place.
 
-    Every text starts in the context of three end bytes.
+    A code is the context bytes, the latest highest, then the byte. Every text starts in
+    the context of ``DEPTH`` end bytes.
     """
     lengths = np.array([len(t) for t in texts])
-    buffer = np.frombuffer(END * DEPTH + (END * (DEPTH - 1)).join(texts), np.uint8).astype(np.uint32)
-    codes = (buffer[:-3] << 24) | (buffer[1:-2] << 16) | (buffer[2:-1] << 8) | buffer[3:]
+    buffer = np.frombuffer(END * DEPTH + (END * (DEPTH - 1)).join(texts), np.uint8).astype(np.int64)
+    codes = buffer[DEPTH:].copy()
+    for back in range(1, DEPTH + 1):
+        codes |= buffer[DEPTH - back : -back] << 8 * (DEPTH + 1 - back)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     own = np.ones(len(codes), bool)
     pads = (np.cumsum(lengths)[:-1] + np.arange(len(texts) - 1) * (DEPTH - 1))[:, None] + np.arange(DEPTH - 1)
@@ -90,7 +100,7 @@ class _Counts:
         codes, many = np.unique(grams(spelt)[0], return_counts=True)
         self.codes.append((codes, many))
         self.held += len(codes)
-        if self.held > 2 * self.room:
+        if self.held > 4 * self.room:
             self._merge()
 
     def _merge(self) -> None:
@@ -99,23 +109,22 @@ class _Counts:
         self.codes, self.held = [(codes, many)], len(codes)
 
     def full(self) -> bool:
-        return len(self.words) > self.room or self.held > 2 * self.room
+        return len(self.words) > self.room or self.held > 2 * self.room and len(self.codes) == 1
 
     def give(self) -> pa.RecordBatch:
-        keys, numbers, kinds = list(self.words), list(self.words.values()), [_WORD] * len(self.words)
+        words, codes, many = list(self.words), np.empty(0, np.int64), np.empty(0, np.int64)
         if self.codes:
             self._merge()
             codes, many = self.codes[0]
-            raw = codes.astype(">u4").tobytes()
-            keys += [raw[k : k + 4] for k in range(0, len(raw), 4)]
-            numbers += many.tolist()
-            kinds += [_GRAM] * len(codes)
+        key = pa.array(words + [NO_WORD] * len(codes), pa.binary())
+        code = pa.array(np.concatenate([np.full(len(words), NO_CODE), codes]))
+        n = pa.array(np.concatenate([np.fromiter(self.words.values(), np.int64, len(words)), many]))
         self.words, self.codes, self.held = Counter(), [], 0
-        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.binary()), pa.array(numbers, pa.int64())], names=["kind", "key", "n"])
+        return pa.RecordBatch.from_arrays([key, code, n], names=["word", "code", "n"])
 
 
 def corpus_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(kind, key, n): counts of all words and of all four-byte strings."""
+    """(word, code, n): counts of all words, and of all strings of context and byte."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = _Counts()
@@ -127,8 +136,8 @@ def corpus_counts(docs: DataFrame, text_col: str) -> DataFrame:
                     yield counts.give()
         yield counts.give()
 
-    partial = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "kind int, key binary, n long")
-    return partial.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    partial = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, code long, n long")
+    return partial.groupBy("word", "code").agg(F.sum("n").alias("n"))
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -142,206 +151,245 @@ def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - math.log(math.pi)
 
 
-def _bit_counts(byte_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at each of the 255 decisions, in heap order, from counts of the 256 bytes."""
-    zeros, ones = [], []
+def _decisions(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each of the eight decisions of the codes' bytes: its place (1 to 255) and its outcome."""
+    byte = codes & 255
     for bit in range(8):
-        halves = byte_counts.reshape(len(byte_counts), 1 << bit, 2, -1).sum(3)
-        zeros.append(halves[:, :, 0])
-        ones.append(halves[:, :, 1])
-    return np.concatenate(zeros, 1), np.concatenate(ones, 1)
+        yield 1 << bit | byte >> (8 - bit), byte >> (7 - bit) & 1
+
+
+def _keys(codes: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+    """Key of the node of ``depth`` context bytes and a decision's place."""
+    return codes >> 8 * (DEPTH + 1 - depth) << 8 | places
+
+
+def _summed(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    if not len(keys):
+        return keys, *columns
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0]
+    return keys[first], *(np.add.reduceat(c[order], first) for c in columns)
 
 
 @dataclass(frozen=True)
-class ContextTree:
-    """log10 of each byte's chance in each leaf context, and the way from contexts to leaves.
+class Level:
+    """Nodes of one depth: sorted keys, chance of a one, and the share of the mixture that stops here."""
+
+    keys: np.ndarray
+    one: np.ndarray
+    share: np.ndarray
+
+
+#: Sorted keys with zeros, ones and the log probability of what lies below.
+Sums = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _level(sums: Sums, leaf: bool) -> tuple[Level, Sums]:
+    """A depth's nodes, and the sums for their parents."""
+    keys, zeros, ones, below = sums
+    stop = _log_kt(zeros, ones)
+    both = stop if leaf else np.logaddexp(stop, below)
+    level = Level(keys, (ones + 0.5) / (zeros + ones + 1), np.exp(stop - both))
+    return level, _summed(keys >> 16 << 8 | keys & 255, zeros, ones, both if leaf else both - math.log(2))
+
+
+def _leaf_sums(codes: np.ndarray, n: np.ndarray) -> Sums:
+    keys, zeros, ones = [np.empty(0, np.int64)], [np.empty(0)], [np.empty(0)]
+    for places, outcome in _decisions(codes):
+        keys.append(_keys(codes, places, DEPTH))
+        zeros.append(n * (1.0 - outcome))
+        ones.append(n * outcome.astype(float))
+    k, z, o = _summed(np.concatenate(keys), np.concatenate(zeros), np.concatenate(ones))
+    return k, z, o, np.zeros(len(k))
+
+
+def deep_levels(codes: np.ndarray, n: np.ndarray) -> tuple[list[Level], Sums]:
+    """The levels from ``DEALT`` to ``DEPTH`` of some contexts' strings, and what they sum up to above."""
+    sums, levels = _leaf_sums(codes, n), []
+    for depth in range(DEPTH, DEALT - 1, -1):
+        level, sums = _level(sums, depth == DEPTH)
+        levels.insert(0, level)
+    return levels, sums
+
+
+def top_levels(sums: Sums) -> list[Level]:
+    """The levels above ``DEALT``, from their lowest one's sums."""
+    levels = []
+    for _ in range(DEALT):
+        level, sums = _level(sums, False)
+        levels.insert(0, level)
+    return levels
+
+
+def log10_chances(codes: np.ndarray, levels: list[Level]) -> np.ndarray:
+    """log10 of the chance of each code's byte in its context; ``levels`` are those of all depths."""
+    out = np.zeros(len(codes))
+    for places, outcome in _decisions(codes):
+        chance = np.full(len(codes), 0.5)
+        for depth in range(DEPTH, -1, -1):
+            level, keys = levels[depth], _keys(codes, places, depth)
+            if not len(level.keys):
+                continue
+            at = np.minimum(np.searchsorted(level.keys, keys), len(level.keys) - 1)
+            mixed = level.share[at] * level.one[at] + (1 - level.share[at]) * chance
+            chance = np.where(level.keys[at] == keys, mixed, chance)
+        out += np.log10(np.where(outcome == 1, chance, 1 - chance))
+    return out
+
+
+def _by_context(rows: DataFrame, work, schema: str, per_task: int = 400_000, room: int = 200_000) -> DataFrame:
+    """``work(codes, n)`` on rows (code, n) dealt by context, some whole contexts at a time."""
 
-    ``pairs`` and ``triples`` list the contexts of two and three bytes with nodes of their
-    own. Rows of ``log10`` stand for: 256 one-byte contexts, then pairs, then triples; the
-    row of a shorter context serves those longer ones that have no node.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size < room:
+                continue
+            codes, n = (np.concatenate(side) for side in zip(*held, strict=True))
+            context = codes >> 8 * (DEPTH + 1 - DEALT)
+            whole = int(np.searchsorted(context, context[-1])) if len(context) else 0
+            if whole:
+                yield work(codes[:whole], n[:whole])
+            held, size = [(codes[whole:], n[whole:])], 0
+        if held:
+            yield work(*(np.concatenate(side) for side in zip(*held, strict=True)))
 
-    pairs: np.ndarray
-    triples: np.ndarray
-    log10: np.ndarray
+    parts = max(1, math.ceil(rows.count() / per_task), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartition(parts, F.shiftright("code", 8 * (DEPTH + 1 - DEALT))).sortWithinPartitions("code")
+    return dealt.select("code", "n").mapInArrow(run, schema)
 
-    def rows(self) -> np.ndarray:
-        """Row of ``log10`` for each of the 2**24 contexts of three bytes."""
-        two = np.tile(np.arange(256, dtype=np.uint16), 256)
-        two[self.pairs] = 256 + np.arange(len(self.pairs))
-        three = np.tile(two, 256)
-        three[self.triples] = 256 + len(self.pairs) + np.arange(len(self.triples))
-        return three
 
+def fit_top(coded: DataFrame) -> list[Level]:
+    """The tree's levels above ``DEALT`` from (code, n); at most 255 numbers for each of 2**16 contexts are collected."""
 
-def weigh(leaf_counts: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> ContextTree:
-    """The context tree from byte counts of its leaves (rows as in ``ContextTree.log10``).
+    def work(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in deep_levels(codes, n)[1]], names=["key", "zeros", "ones", "below"])
 
-    A leaf row of a one- or two-byte context counts only what its listed extensions do not.
-    """
-    first_pair, first_triple = 256, 256 + len(pairs)
-    pair_of = np.full(1 << 16, -1)
-    pair_of[pairs] = np.arange(len(pairs))
-    up_three, up_two = pair_of[triples & 0xFFFF], pairs & 0xFF
-    if len(up_three) and up_three.min() < 0:
-        raise ValueError("a three-byte context without its two-byte one")
-
-    def gather(rows: np.ndarray, parents: np.ndarray, n: int) -> np.ndarray:
-        out = np.zeros((n, rows.shape[1]))
-        np.add.at(out, parents, rows)
-        return out
-
-    leaf_zeros, leaf_ones = _bit_counts(leaf_counts)
-    leaf_log = _log_kt(leaf_zeros, leaf_ones)
-    leaf_one = (leaf_ones + 0.5) / (leaf_zeros + leaf_ones + 1)
-
-    def inner(own: slice, child_zeros, child_ones, child_log, parents, n):
-        """Sums, weighted log probability and the share that stops here, for contexts with extensions."""
-        zeros = leaf_zeros[own] + gather(child_zeros, parents, n)
-        ones = leaf_ones[own] + gather(child_ones, parents, n)
-        stop = _log_kt(zeros, ones)
-        go = leaf_log[own] + gather(child_log, parents, n)
-        both = np.logaddexp(stop, go)
-        return zeros, ones, both - math.log(2), np.exp(stop - both)
-
-    three = slice(first_triple, None)
-    two_zeros, two_ones, two_log, two_stop = inner(slice(first_pair, first_triple), leaf_zeros[three], leaf_ones[three], leaf_log[three], up_three, len(pairs))
-    one_zeros, one_ones, one_log, one_stop = inner(slice(0, 256), two_zeros, two_ones, two_log, up_two, 256)
-    top_zeros, top_ones = one_zeros.sum(0, keepdims=True), one_ones.sum(0, keepdims=True)
-    stop, go = _log_kt(top_zeros, top_ones), one_log.sum(0, keepdims=True)
-    top_stop = np.exp(stop - np.logaddexp(stop, go))
-
-    def mix(share: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> np.ndarray:
-        return share * (ones + 0.5) / (zeros + ones + 1) + (1 - share) * below
-
-    def from_top(below_one: np.ndarray, ones_of: np.ndarray) -> np.ndarray:
-        here = mix(one_stop[ones_of], one_zeros[ones_of], one_ones[ones_of], below_one)
-        return mix(top_stop, top_zeros, top_ones, here)
-
-    chance = np.empty_like(leaf_one)
-    chance[:256] = from_top(leaf_one[:256], np.arange(256))
-    at_two = lambda below, of: mix(two_stop[of], two_zeros[of], two_ones[of], below)
-    chance[first_pair:first_triple] = from_top(at_two(leaf_one[first_pair:first_triple], np.arange(len(pairs))), up_two)
-    chance[three] = from_top(at_two(leaf_one[three], up_three), up_two[up_three])
-    out = np.zeros((len(chance), 1))
-    for bit in range(8):
-        one = chance[:, (1 << bit) - 1 : (2 << bit) - 1]
-        out = np.stack([out + np.log10(1 - one), out + np.log10(one)], axis=2).reshape(len(chance), -1)
-    return ContextTree(pairs, triples, out.astype(np.float32))
-
-
-def fit_tree(counts: DataFrame, max_contexts: int = 16384) -> ContextTree:
-    """Collects at most 256 counts for each of 256 + 2 * ``max_contexts`` contexts."""
-    code = F.conv(F.hex("key"), 16, 10).cast("long")
-    coded = counts.filter(F.col("kind") == _GRAM).select(code.alias("code"), "n")
-    split = coded.select(
-        F.shiftright("code", 8).alias("c3"),
-        F.shiftright("code", 8).bitwiseAND(0xFFFF).alias("c2"),
-        F.shiftright("code", 8).bitwiseAND(0xFF).alias("c1"),
-        F.col("code").bitwiseAND(0xFF).alias("byte"),
-        "n",
-    )
-    total = coded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    often = lambda c: sorted(r[0] for r in split.groupBy(c).agg(F.sum("n").alias("n")).filter(F.col("n") * max_contexts >= total).collect())
-    pairs, triples = np.array(often("c2"), np.int64), np.array(often("c3"), np.int64)
-    spark = counts.sparkSession
-    known_two = spark.createDataFrame([(int(c),) for c in pairs], "c2 long").withColumn("has2", F.lit(True))
-    known_three = spark.createDataFrame([(int(c),) for c in triples], "c3 long").withColumn("has3", F.lit(True))
-    # at most max_contexts rows each
-    placed = split.join(F.broadcast(known_two), "c2", "left").join(F.broadcast(known_three), "c3", "left")
-    depth = F.when(F.col("has3"), F.lit(3)).when(F.col("has2"), F.lit(2)).otherwise(F.lit(1))
-    context = F.when(F.col("has3"), F.col("c3")).when(F.col("has2"), F.col("c2")).otherwise(F.col("c1"))
-    rows = placed.select(depth.alias("depth"), context.alias("context"), "byte", "n").groupBy("depth", "context", "byte").agg(F.sum("n").alias("n"))
-    found = rows.toArrow()
-    depth, context, byte, n = (found.column(k).to_numpy() for k in range(4))
-    at = np.where(depth == 1, context, 0)
-    at = np.where(depth == 2, 256 + np.searchsorted(pairs, context), at)
-    at = np.where(depth == 3, 256 + len(pairs) + np.searchsorted(triples, context), at)
-    leaf_counts = np.zeros((256 + len(pairs) + len(triples), 256))
-    leaf_counts[at, byte] = n
-    return weigh(leaf_counts, pairs, triples)
+    parts = _by_context(coded, work, "key long, zeros double, ones double, below double")
+    found = parts.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).orderBy("key").toArrow()
+    return top_levels(tuple(found.column(c).to_numpy() for c in ("key", "zeros", "ones", "below")))
+
+
+def code_chances(coded: DataFrame, wanted: DataFrame, top: list[Level]) -> DataFrame:
+    """(code, log10) for each of the distinct ``wanted`` codes, whether training has them or not."""
+    shared = coded.sparkSession.sparkContext.broadcast(top)
+
+    def work(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        asked = codes[n == 0]
+        levels = [*shared.value, *deep_levels(codes[n > 0], n[n > 0])[0]]
+        return pa.RecordBatch.from_arrays([pa.array(asked), pa.array(log10_chances(asked, levels))], names=["code", "log10"])
+
+    return _by_context(coded.unionByName(wanted.select("code", F.lit(0).cast("long").alias("n"))), work, "code long, log10 double")
+
+
+def frequent_codes(coded: DataFrame, most: int) -> DataFrame:
+    """The codes of (code, n) in the highest sixteenths of a doubling of n that hold ``most`` codes at most."""
+    step = F.floor(F.log2("n") * 16).cast("int")
+    sizes = coded.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("codes")).orderBy(F.desc("step")).collect()
+    least, total = 1 << 30, 0
+    for r in sizes:
+        total += r["codes"]
+        if total > most:
+            break
+        least = r["step"]
+    return coded.filter(step >= least).select("code")
 
 
 @dataclass(frozen=True)
-class Unigrams:
-    """Totals, and log10 chances of the frequent words."""
+class Frequent:
+    """Totals, log10 chances of the frequent words, and those of the frequent codes (sorted)."""
 
     total: int
     distinct: int
-    frequent: dict[bytes, float]
+    words: dict[bytes, float]
+    codes: np.ndarray
+    log10: np.ndarray
 
 
-def fit_unigrams(counts: DataFrame, frequent: int = 1 << 20, longest: int = 64) -> Unigrams:
-    words = counts.filter(F.col("kind") == _WORD)
+def fit_frequent(counts: DataFrame, coded: DataFrame, top: list[Level], frequent: int = 1 << 20, longest: int = 64) -> Frequent:
+    words = counts.filter(F.col("code") == NO_CODE)
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    common = words.filter((F.col("n") * frequent >= total) & (F.length("key") <= longest)).select("key", "n").toArrow()
+    common = words.filter((F.col("n") * frequent >= total) & (F.length("word") <= longest)).select("word", "n").toArrow()
     space = math.log10(total + distinct + 1)
     log10 = (np.log10(common.column("n").to_numpy() + 1.0) - space).tolist()
-    return Unigrams(total, distinct, dict(zip(common.column("key").to_pylist(), log10, strict=True)))
+    known = code_chances(coded, frequent_codes(coded, frequent), top).orderBy("code").toArrow()
+    codes, chances = known.column("code").to_numpy(), known.column("log10").to_numpy().astype(np.float32)
+    return Frequent(total, distinct, dict(zip(common.column("word").to_pylist(), log10, strict=True)), codes, chances)
 
 
-_ROW = "k long, id long, word binary, tf long, heads long, n_tokens long, n_known long, base double, score double, n_bytes long"
+_ROW = "k long, id long, word binary, code long, tf long, n_tokens long, n_known long, base double, score double, n_bytes long"
 
 
-def _scored_rows(docs: DataFrame, id_col: str, text_col: str, unigrams: Unigrams, tree: ContextTree) -> DataFrame:
-    """A head row for each document and a row for each rare word of it."""
-    shared = docs.sparkSession.sparkContext.broadcast((unigrams.frequent, tree))
+def _scored_rows(docs: DataFrame, id_col: str, text_col: str, frequent: Frequent) -> DataFrame:
+    """A head row for each document, and a row for each rare word and each rare code of it."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log10, model = shared.value
-        rows = model.rows()
+        model = shared.value
+        names = [c.split(" ")[0] for c in _ROW.split(", ")]
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
         for batch in batches:
             keys, ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))
             for a, b in _blocks(texts):
                 split = [tokens(t) for t in texts[a:b]]
                 spelt = [spelled(w) for w in split]
                 codes, starts = grams(spelt)
-                scores = np.add.reduceat(model.log10[rows[codes >> 8], codes & 255].astype(np.float64), starts)
+                at = np.minimum(np.searchsorted(model.codes, codes), max(0, len(model.codes) - 1))
+                hit = model.codes[at] == codes if len(model.codes) else np.zeros(len(codes), bool)
+                known = np.where(hit, model.log10[at], 0.0).astype(np.float64) if len(model.codes) else np.zeros(len(codes))
+                scores = np.add.reduceat(known, starts)
                 out: list[tuple] = []
                 for key, doc_id, words, score, text in zip(keys[a:b], ids[a:b], split, scores.tolist(), spelt, strict=True):
-                    found = list(map(log10.get, words))
+                    found = list(map(model.words.get, words))
                     rare = Counter(w for w, x in zip(words, found, strict=True) if x is None) if None in found else {}
-                    known = len(words) - rare.total() if rare else len(words)
+                    n_known = len(words) - rare.total() if rare else len(words)
                     base = sum(x for x in found if x is not None) if rare else sum(found)
                     # a key of its own: no word holds the end byte
-                    out.append((key, doc_id, END + key.to_bytes(8, "big", signed=True), 0, 1, len(words), known, base, score, len(text)))
-                    out += [(key, None, w, n, 0, 0, 0, 0.0, 0.0, 0) for w, n in rare.items()]
-                types = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.float64(), pa.float64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)],
-                    names=["k", "id", "word", "tf", "heads", "n_tokens", "n_known", "base", "score", "n_bytes"],
-                )
+                    out.append((key, doc_id, END + key.to_bytes(8, "big"), NO_CODE, 0, len(words), n_known, base, score, len(text)))
+                    out += [(key, None, w, NO_CODE, n, 0, 0, 0.0, 0.0, 0) for w, n in rare.items()]
+                missed = np.nonzero(~hit)[0]
+                if len(missed):
+                    of = np.searchsorted(starts, missed, "right") - 1
+                    each, many = np.unique(np.stack([of, codes[missed]], 1), axis=0, return_counts=True)
+                    out += [(keys[a + d], None, NO_WORD, code, n, 0, 0, 0.0, 0.0, 0) for (d, code), n in zip(each.tolist(), many.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    doc_id = F.col(id_col).cast("long")
-    return docs.select(F.xxhash64(doc_id, text).alias("k"), doc_id.alias("id"), text.alias("text")).mapInArrow(run, _ROW)
+    numbered = docs.select(F.monotonically_increasing_id().alias("k"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return numbered.mapInArrow(run, _ROW)
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", frequent: int = 1 << 20) -> DataFrame:
     """(id_col, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row."""
     counts = cut(corpus_counts(docs.filter(train), text_col))
-    unigrams, tree = fit_unigrams(counts), fit_tree(counts)
-    words = counts.filter(F.col("kind") == _WORD).select(F.col("key").alias("word"), "n")
-    rows = _scored_rows(docs, id_col, text_col, unigrams, tree)
-    space = F.lit(math.log10(unigrams.total + unigrams.distinct + 1))
-    rare = F.col("tf") * (F.log10(F.coalesce("n", F.lit(0)) + 1) - space)
+    coded = counts.filter(F.col("code") != NO_CODE).select("code", "n")
+    top = fit_top(coded)
+    model = fit_frequent(counts, coded, top, frequent)
+    rows = cut(_scored_rows(docs, id_col, text_col, model))
+    asked = rows.filter(F.col("code") != NO_CODE).select("code").distinct()
+    answers = code_chances(coded, asked, top).select(F.lit(NO_WORD).alias("word"), "code", F.lit(None).cast("long").alias("n"), "log10")
+    known = counts.filter(F.col("code") == NO_CODE).select("word", "code", "n", F.lit(None).cast("double").alias("log10"))
+    space = F.lit(math.log10(model.total + model.distinct + 1))
+    is_word = (F.col("tf") > 0) & (F.col("code") == NO_CODE)
     summed = (
-        rows.join(words, "word", "left")
-        .select("k", "id", "heads", "n_tokens", "score", "n_bytes", (F.col("n_known") + F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("n_known"), (F.col("base") + F.when(F.col("tf") > 0, rare).otherwise(0.0)).alias("base"))
+        rows.join(known.unionByName(answers), ["word", "code"], "left")
+        .select(
+            "k", "id", "n_tokens", "n_bytes",
+            (F.col("n_known") + F.when(is_word & F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("n_known"),
+            (F.col("base") + F.when(is_word, F.col("tf") * (F.log10(F.coalesce("n", F.lit(0)) + 1) - space)).otherwise(0.0)).alias("base"),
+            (F.col("score") + F.when(F.col("code") != NO_CODE, F.col("tf") * F.col("log10")).otherwise(0.0)).alias("score"),
+        )
         .groupBy("k")
-        .agg(F.min("id").alias("id"), *[F.sum(c).alias(c) for c in ("heads", "n_tokens", "n_known", "base", "score", "n_bytes")])
+        .agg(F.min("id").alias("id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score", "n_bytes")])
     )
-    each = lambda c: (F.col(c) / F.col("heads"))
     return summed.select(
-        F.col("id").alias(id_col),
-        each("n_tokens").cast("long").alias("n_tokens"),
-        each("n_known").cast("long").alias("n_known"),
-        F.lit(unigrams.total).cast("long").alias("train_tokens"),
-        each("base").alias("base_score"),
-        each("score").alias("score"),
+        F.col("id").alias(id_col), "n_tokens", "n_known",
+        F.lit(model.total).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"), "score",
         (-F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
-        F.explode(F.sequence(F.lit(1).cast("long"), "heads")).alias("copy"),
-    ).drop("copy")
+    )
 
 
 def held_out(id_col: str = "doc_id") -> Column:

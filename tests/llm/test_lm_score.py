@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pointlake.llm import lm_score
 
@@ -37,27 +38,9 @@ def test_base_score_matches_definition(spark):
     assert lm_score.document_scores(docs.limit(0)).count() == 0
 
 
-def test_rare_words_by_join_agree_with_lookup(spark):
-    rows = corpus()
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    counts = lm_score.cut(lm_score.corpus_counts(docs, "text"))
-    few = lm_score.fit_unigrams(counts, frequent=8)
-    assert 0 < len(few.frequent) <= 8 < few.distinct
-
-
-def plain_tree(texts, keep2, keep3):
+def plain_tree(texts):
     """Context-tree weighting by its recursion, one byte decision at a time."""
-    counts = defaultdict(lambda: [0, 0])
-
-    def path(context):
-        c1, c2, c3 = context[-1:], context[-2:], context[-3:]
-        out = [("root",), ("one", c1)]
-        if c2 not in keep2:
-            return [*out, ("rest", c1)]
-        out.append(("two", c2))
-        return [*out, ("three", c3)] if c3 in keep3 else [*out, ("rest", c2)]
-
-    children = defaultdict(set)
+    counts, children = defaultdict(lambda: [0, 0]), defaultdict(set)
 
     def bits(byte):
         node = 1
@@ -66,16 +49,16 @@ def plain_tree(texts, keep2, keep3):
             node = 2 * node + (byte >> k & 1)
 
     def walk(text):
-        padded = b"\n\n\n" + text
-        for at in range(3, len(padded)):
-            yield path(padded[at - 3 : at]), padded[at]
+        padded = b"\n" * lm_score.DEPTH + text
+        for at in range(lm_score.DEPTH, len(padded)):
+            yield [padded[at - d : at] for d in range(lm_score.DEPTH + 1)], padded[at]
 
     for text in texts:
         for nodes, byte in walk(text):
-            for a, b in zip(nodes, nodes[1:], strict=False):
-                children[a].add(b)
-            for node in nodes:
-                for which, bit in bits(byte):
+            for which, bit in bits(byte):
+                for a, b in zip(nodes, nodes[1:], strict=False):
+                    children[a, which].add(b)
+                for node in nodes:
                     counts[node, which][bit] += 1
 
     def log_kt(node, which):
@@ -86,10 +69,10 @@ def plain_tree(texts, keep2, keep3):
 
     def log_weighted(node, which):
         if (node, which) not in cache:
-            if node[0] in ("three", "rest"):
+            if len(node) == lm_score.DEPTH:
                 cache[node, which] = log_kt(node, which)
             else:
-                go = sum(log_weighted(c, which) for c in children[node])
+                go = sum(log_weighted(c, which) for c in children[node, which])
                 cache[node, which] = np.logaddexp(log_kt(node, which), go) - math.log(2)
         return cache[node, which]
 
@@ -112,21 +95,27 @@ def plain_tree(texts, keep2, keep3):
     return log10
 
 
-def test_tree_matches_the_recursion(spark):
-    rows = corpus()
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    tree = lm_score.fit_tree(lm_score.cut(lm_score.corpus_counts(docs, "text")), max_contexts=300)
-    spelt = [lm_score.spelled(lm_score.tokens((t or "").encode())) for _, t in rows]
-    keep2 = {int(c).to_bytes(2, "big") for c in tree.pairs}
-    keep3 = {int(c).to_bytes(3, "big") for c in tree.triples}
-    assert 2 < len(keep2) <= 300 and 2 < len(keep3) <= 300
-    log10 = plain_tree(spelt, keep2, keep3)
-    where = tree.rows()
-    for text in [spelt[0], spelt[5], b"\n", b"the zebra\n", b"\xff\xfe q\n"]:
-        codes, _ = lm_score.grams([text])
-        got = float(tree.log10[where[codes >> 8], codes & 255].astype(float).sum())
-        assert got == pytest.approx(log10(text), rel=1e-5)
-    assert np.allclose((10.0 ** tree.log10.astype(float)).sum(1), 1, atol=1e-4)
+def test_scores_match_the_recursion(spark):
+    rows = [r for r in corpus() if r[0] != 104] + [(200, "\xff zebra quiz"), (201, "the cat sat on the mat and"), (202, "zebra")]
+    spelt = lambda t: lm_score.spelled(lm_score.tokens((t or "").encode()))
+    log10 = plain_tree([spelt(t) for _, t in train_rows(rows)])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for frequent in (1 << 20, 40, 0):
+        got = lm_score.score(docs, ~lm_score.held_out(), frequent=max(1, frequent)).collect()
+        assert len(got) == len(rows)
+        texts = defaultdict(set)
+        for i, t in rows:
+            texts[i].add(t)
+        for r in got:
+            (text,) = texts[r.doc_id]
+            assert r.score == pytest.approx(log10(spelt(text)), rel=1e-5)
+            assert r.bits_per_byte == pytest.approx(-r.score * math.log2(10) / len(spelt(text)))
+
+
+def test_nothing_to_learn_from(spark):
+    docs = spark.createDataFrame([(1, "ab"), (1, None)], "doc_id long, text string")
+    got = lm_score.score(docs, F.lit(False)).collect()
+    assert sorted((r.n_tokens, r.n_known, r.train_tokens, round(r.bits_per_byte, 6)) for r in got) == [(1, 0, 0, 8.0), (2, 0, 0, 8.0)]
 
 
 def test_held_out_text_of_the_kind_is_likelier(spark):
