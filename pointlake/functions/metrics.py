@@ -1,8 +1,7 @@
 """Distances as column expressions, for wide points and for vector columns.
 
-A metric is a function of two lists of columns (one for each axis) or of two
-array columns. A user's own ``Callable[[Column, Column], Column]`` on arrays works
-wherever a metric name does.
+A user's own ``Callable[[Column, Column], Column]`` on arrays works wherever a metric
+name does; points given as one column an axis come to it as arrays of doubles.
 """
 
 from __future__ import annotations
@@ -26,10 +25,12 @@ def _power(metric: str) -> float:
     raise ValueError(f"unknown metric {metric!r}")
 
 
-def wide(metric: str, a: list[Column], b: list[Column]) -> Column:
+def wide(metric: Metric, a: list[Column], b: list[Column]) -> Column:
     """Distance between points given as one column for each axis."""
     if len(a) != len(b) or not a:
         raise ValueError(f"points of {len(a)} and {len(b)} axes")
+    if callable(metric):
+        return metric(F.array(*[x.cast("double") for x in a]), F.array(*[x.cast("double") for x in b]))
     gaps = [x.cast("double") - y.cast("double") for x, y in zip(a, b, strict=True)]
     if metric == "l2":
         return F.sqrt(reduce(add, [g * g for g in gaps]))

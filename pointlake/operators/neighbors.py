@@ -24,12 +24,12 @@ def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
     return df.observe(seen, F.count(F.lit(1)).alias("seen")), seen
 
 
-def with_distance(df: DataFrame, query: dict[str, float], metric: str = "l2") -> DataFrame:
+def with_distance(df: DataFrame, query: dict[str, float], metric: metrics.Metric = "l2") -> DataFrame:
     a = [F.col(c) for c in query]
     return df.withColumn("distance", metrics.wide(metric, a, [F.lit(v) for v in query.values()]))
 
 
-def knn(df: DataFrame, query: dict[str, float], k: int, id_col: str, metric: str = "l2", digits: int | None = None) -> DataFrame:
+def knn(df: DataFrame, query: dict[str, float], k: int, id_col: str, metric: metrics.Metric = "l2", digits: int | None = None) -> DataFrame:
     """The k rows nearest to the query point, ascending; ties by id. Heap, no sort of all rows."""
     found = with_distance(df, query, metric)
     if digits is not None:
@@ -37,7 +37,7 @@ def knn(df: DataFrame, query: dict[str, float], k: int, id_col: str, metric: str
     return found.filter(F.col("distance").isNotNull()).orderBy("distance", id_col).limit(_checked(k))
 
 
-def nearest(df: DataFrame, query: dict[str, float], id_col: str, metric: str = "l2") -> DataFrame:
+def nearest(df: DataFrame, query: dict[str, float], id_col: str, metric: metrics.Metric = "l2") -> DataFrame:
     """One row, or none for an empty table."""
     return knn(df, query, 1, id_col, metric)
 
@@ -67,15 +67,38 @@ def _numpy_distances(metric: str, rows: np.ndarray, queries: np.ndarray) -> np.n
     return out
 
 
-def _query_blocks(queries: DataFrame, rows: int) -> Iterator[list]:
-    block = []
-    for r in queries.toLocalIterator():
-        block.append(r)
-        if len(block) == rows:
-            yield block
-            block = []
-    if block:
-        yield block
+class _Best:
+    """The k nearest base rows of each query of a block, as base rows stream by."""
+
+    def __init__(self, ids: list, vectors: list, k: int, metric: str, exclude_self: bool, digits: int):
+        self.k, self.metric, self.exclude_self, self.digits = k, metric, exclude_self, digits
+        self.kept: dict = {q: [] for q in ids}
+        by_axes: dict[int, list[int]] = {}
+        for at, v in enumerate(vectors):
+            by_axes.setdefault(len(v), []).append(at)
+        #: Queries by number of axes; rows of other lengths are no neighbours.
+        self.groups = {n: ([ids[i] for i in which], np.array([vectors[i] for i in which])) for n, which in by_axes.items() if n}
+
+    def see(self, row_ids: list, vectors: pa.ListArray) -> None:
+        sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
+        for n, (query_ids, wanted) in self.groups.items():
+            own = np.nonzero(sizes == n)[0]
+            if not len(own):
+                continue
+            rows = vectors.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), n)
+            found = np.round(_numpy_distances(self.metric, rows, wanted), self.digits)
+            for query, distances in zip(query_ids, found, strict=True):
+                room = min(self.k + 1, len(distances))
+                edge = np.partition(distances, room - 1)[room - 1]
+                near = [(float(distances[j]), row_ids[own[j]]) for j in np.nonzero(distances <= edge)[0]]
+                if self.exclude_self:
+                    near = [x for x in near if x[1] != query]
+                self.kept[query] = sorted(self.kept[query] + near)[: self.k]
+
+    def rows(self, kind: pa.DataType) -> pa.RecordBatch:
+        flat = [(q, x[1], x[0]) for q, best in self.kept.items() for x in best]
+        columns = zip(*flat, strict=True) if flat else ([], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, kind, pa.float64()), strict=True)], names=["query_id", "id", "distance"])
 
 
 def knn_join(
@@ -84,70 +107,98 @@ def knn_join(
     k: int,
     id_col: str,
     vector: str,
-    metric: str = "l2",
+    metric: metrics.Metric = "l2",
     exclude_self: bool = False,
-    block_rows: int = 1024,
+    block_rows: int = 16_384,
+    base_rows: int = 1_000_000,
     digits: int = 9,
 ) -> DataFrame:
     """(query_id, <id_col>, distance, rank): the k nearest base rows of every query.
 
-    Queries are the stated query set: they go out in blocks of ``block_rows``, each task
-    keeps its own best k for each query of the block, and only those few rows are
-    shuffled and ranked. ``base`` is never collected, broadcast or crossed.
+    Up to ``block_rows`` queries are broadcast and ``base`` is read once. More are dealt to
+    blocks of about that size, and base rows to parts of about ``base_rows``; each pair of a
+    block and a part is a task's work of its own, so neither side reaches the driver. A task
+    keeps its own best k for each query, and only those few rows are shuffled and ranked.
+    Vectors that are null, or of other lengths than the query's, are no neighbours; query ids are
+    distinct. An own metric is worked out by Spark on the same pairs of blocks and parts.
     """
     _checked(k)
-    ids = base.schema[id_col].dataType.simpleString()
-    best = None
-    slim = base.select(F.col(id_col).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")).filter("v is not null")
-    query_rows = queries.select(F.col(id_col).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")).filter("v is not null")
-    for block in _query_blocks(query_rows, block_rows):
-        shared = base.sparkSession.sparkContext.broadcast(([r.id for r in block], np.array([r.v for r in block])))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            query_ids, wanted = shared.value
-            kept: list[list[tuple]] = [[] for _ in query_ids]
+    kind = base.schema[id_col].dataType.simpleString()
+    slim = lambda df: df.select(F.col(id_col).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")).filter("id is not null and v is not null")
+    rows, wanted = slim(base), slim(queries)
+    many = wanted.count()
+    blocks = max(1, -(-many // block_rows))
+    schema = f"query_id {kind}, id {kind}, distance double"
+    if blocks == 1 and not callable(metric):
+        held = wanted.collect()
+        shared = base.sparkSession.sparkContext.broadcast(([r.id for r in held], [r.v for r in held]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = _Best(*shared.value, k, metric, exclude_self, digits)
+            id_type = None
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                row_ids = batch.column(0).to_pylist()
-                rows = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-                found = np.round(_numpy_distances(metric, rows, wanted), digits)
-                for i, distances in enumerate(found):
-                    room = min(k + 1, len(distances))
-                    edge = np.partition(distances, room - 1)[room - 1]
-                    near = [(float(distances[j]), row_ids[j]) for j in np.nonzero(distances <= edge)[0]]
-                    if exclude_self:
-                        near = [n for n in near if n[1] != query_ids[i]]
-                    kept[i] = sorted(kept[i] + near)[:k]
-            flat = [(q, n[1], n[0]) for q, best_of in zip(query_ids, kept, strict=True) for n in best_of]
-            columns = zip(*flat, strict=True) if flat else ([], [], [])
-            id_type = pa.int64() if ids == "bigint" else pa.int32() if ids == "int" else pa.string()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (id_type, id_type, pa.float64()), strict=True)], names=["query_id", "id", "distance"]
-            )
-
-        part = slim.mapInArrow(run, f"query_id {ids}, id {ids}, distance double")
-        best = part if best is None else best.unionByName(part)
-    if best is None:
-        best = base.sparkSession.createDataFrame([], f"query_id {ids}, id {ids}, distance double")
+                id_type = batch.schema.field(0).type
+                best.see(batch.column(0).to_pylist(), batch.column(1))
+            if id_type is not None:
+                yield best.rows(id_type)
+
+        found = rows.mapInArrow(run, schema)
+    else:
+        parts = max(1, -(-rows.count() // base_rows))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        part, block = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+        asked = wanted.select(every(parts).alias("part"), block.alias("block"), F.lit(0).alias("side"), "id", "v")
+        given = rows.select(part.alias("part"), every(blocks).alias("block"), F.lit(1).alias("side"), "id", "v")
+        if callable(metric):
+            left, right = asked.select("part", "block", F.col("id").alias("query_id"), F.col("v").alias("q")), given.select("part", "block", "id", "v")
+            met = left.join(right, ["part", "block"]).filter(F.size("q") == F.size("v"))
+            met = met.filter("query_id <> id") if exclude_self else met
+            found = met.select("query_id", "id", F.round(metric(F.col("v"), F.col("q")), digits).alias("distance")).filter("distance is not null")
+        else:
+
+            def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                cell, ids, vectors, best, id_type = None, [], [], None, None
+                for batch in batches:
+                    id_type = batch.schema.field(3).type
+                    keys = np.stack([batch.column(c).to_numpy() for c in range(3)], 1)
+                    first = np.nonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))[0] if len(keys) else []
+                    for start, stop in zip(first, [*first[1:], len(keys)], strict=True):
+                        run = batch.slice(start, stop - start)
+                        if tuple(keys[start, :2]) != cell:
+                            if best:
+                                yield best.rows(id_type)
+                            cell, ids, vectors, best = tuple(keys[start, :2]), [], [], None
+                        if keys[start, 2] == 0:
+                            ids += run.column(3).to_pylist()
+                            vectors += run.column(4).to_pylist()
+                        elif ids:
+                            best = best or _Best(ids, vectors, k, metric, exclude_self, digits)
+                            best.see(run.column(3).to_pylist(), run.column(4))
+                if best:
+                    yield best.rows(id_type)
+
+            dealt = asked.unionByName(given).repartition("part", "block").sortWithinPartitions("part", "block", "side")
+            found = dealt.mapInArrow(cells, schema)
     order = Window.partitionBy("query_id").orderBy("distance", "id")
-    return (
-        best.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select("query_id", F.col("id").alias(id_col), "distance", "rank")
-    )
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("id").alias(id_col), "distance", "rank")
 
 
-def within_distance(left: DataFrame, right: DataFrame, axes: list[str], radius: float, metric: str = "l2") -> DataFrame:
+def within_distance(left: DataFrame, right: DataFrame, axes: list[str], radius: float, metric: metrics.Metric = "l2") -> DataFrame:
     """Pairs of a left and a right row at most ``radius`` apart, with their distance.
 
     Left columns keep their names; right ones get the suffix ``_r``. Space is cut into
     cells of side ``radius`` on the first two axes; a right row goes to its own and the
-    adjacent cells, so candidates meet by an equi-join.
+    adjacent cells, so candidates meet by an equi-join. For an own metric, which must keep
+    the triangle inequality, cells are cut along the distance to one left row instead.
     """
     if radius <= 0:
         raise ValueError("radius must be positive")
-    cut = axes[:2]
+    columns = left.columns
+    if callable(metric):
+        pivot = left.select(*axes).dropna().limit(1).collect()
+        at = [F.lit(float(x)) for x in pivot[0]] if pivot else [F.lit(0.0)] * len(axes)
+        left, right = (side.withColumn("_pivot", metrics.wide(metric, [F.col(a) for a in axes], at)) for side in (left, right))
+    cut = ["_pivot"] if callable(metric) else axes[:2]
     cell = lambda c: F.floor(F.col(c).cast("double") / F.lit(float(radius))).cast("long")
     named = right.select(*[F.col(c).alias(f"{c}_r") for c in right.columns])
     for n, axis in enumerate(cut):
@@ -158,4 +209,4 @@ def within_distance(left: DataFrame, right: DataFrame, axes: list[str], radius:
     meet = [F.col(f"_c{n}") == F.col(f"_d{n}") for n in range(len(cut))]
     distance = metrics.wide(metric, [F.col(a) for a in axes], [F.col(f"{a}_r") for a in axes])
     joined = left.join(named, meet).withColumn("distance", distance).filter(F.col("distance") <= radius)
-    return joined.drop(*[f"_{x}{n}" for n in range(len(cut)) for x in "cd"])
+    return joined.select(*columns, *[f"{c}_r" for c in right.columns if c != "_pivot"], "distance")

@@ -72,13 +72,18 @@ def range_fold(array: DataFrame, monoid: Monoid, start: int, stop: int, closed:
     return array.filter((F.col("idx") >= start) & (F.col("idx") < end)).agg(monoid.folded("val").alias("fold"))
 
 
-def ordered_fold(array: DataFrame, start: int, stop: int, merge, identity: Column) -> DataFrame:
-    """One row: a fold in index order of [start, stop), for merges that do not commute.
+def ordered_fold(array: DataFrame, start: int, stop: int, merge, identity: Column, bits: int = BLOCK_BITS) -> DataFrame:
+    """One row: a fold in index order of [start, stop), for associative merges that do not commute.
 
-    The window's values meet in one array, so it must be of bounded length.
+    Blocks of 2**bits indices are folded on their own and their folds in turn, so no task
+    holds more values than a block has.
     """
-    rows = array.filter((F.col("idx") >= start) & (F.col("idx") < stop))
+    rows = array.filter((F.col("idx") >= start) & (F.col("idx") < stop)).select((F.col("idx").cast("long") - start).alias("idx"), "val")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("idx", "val"))), lambda s: s["val"])
+    span = max(0, stop - start - 1)
+    while span >> bits:
+        rows = rows.groupBy(F.shiftright("idx", bits).alias("idx")).agg(F.aggregate(ordered, identity, merge).alias("val"))
+        span >>= bits
     return rows.agg(F.aggregate(ordered, identity, merge).alias("fold"))
 
 
@@ -167,16 +172,22 @@ def _at_level(level: int):
     return lambda b: F.struct(F.lit(level).alias("level"), b.alias("block"))
 
 
-def batch_range_difference(array: DataFrame, queries: DataFrame, monoid: Monoid, closed: bool = False) -> DataFrame:
-    """``batch_range_fold`` for an invertible monoid on an array without gaps: two prefix look-ups."""
+def batch_range_difference(array: DataFrame, queries: DataFrame, monoid: Monoid, closed: bool = False, radix_bits: int = RADIX_BITS) -> DataFrame:
+    """``batch_range_fold`` for an invertible monoid: the prefix up to the end less that before the start.
+
+    Only the prefixes that queries need are made up, from the array's block folds.
+    """
     if monoid.inverse is None:
         raise ValueError(f"{monoid.name} has no inverse")
-    upto = prefix(array, monoid).select("idx", "prefix")
-    size = last_index(array) + 1
+    top = last_index(array)
     end = F.col("hi") + 1 if closed else F.col("hi")
-    ends = queries.select("*", F.least(end, F.lit(size)).alias("_end"), F.greatest("lo", F.lit(0)).alias("_lo"))
-    right = upto.select((F.col("idx") + 1).alias("_end"), F.col("prefix").alias("_right"))
-    left = upto.select((F.col("idx") + 1).alias("_lo"), F.col("prefix").alias("_left"))
+    ends = queries.select("*", F.least(end, F.lit(top + 1)).cast("long").alias("_end"), F.greatest("lo", F.lit(0)).cast("long").alias("_lo"))
+    wanted = ends.select("_end").union(ends.select("_lo")).distinct().select(F.col("_end").alias("at")).filter((F.col("at") > 0) & (F.col("at") <= top + 1))
+    blocks = cover(F.lit(0).cast("long"), F.col("at"), tree_height(top, radix_bits), radix_bits)
+    pieces = wanted.select("at", F.explode(blocks).alias("p")).select("at", "p.level", "p.block")
+    upto = pieces.join(levels(array, monoid, radix_bits, top), ["level", "block"]).groupBy("at").agg(monoid.agg("fold").alias("prefix"))
+    right = upto.select(F.col("at").alias("_end"), F.col("prefix").alias("_right"))
+    left = upto.select(F.col("at").alias("_lo"), F.col("prefix").alias("_left"))
     joined = ends.join(right, "_end", "left").join(left, "_lo", "left")
     fold = F.when(F.col("_lo") < F.col("_end"), monoid.inverse(F.col("_right"), F.col("_left")))
     return joined.withColumn("fold", monoid.or_identity(fold)).drop("_end", "_lo", "_right", "_left")

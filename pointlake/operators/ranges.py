@@ -60,33 +60,29 @@ def batch_range_search(points: DataFrame, boxes: DataFrame, axes: dict[str, tupl
     two bins at most, and a point to its bin on each level that occurs. The rest is a
     residual filter. A box of any width thus costs two rows, and neither side must fit
     in memory. Boxes that are null, NaN or empty on an axis match nothing; unbounded
-    sides are given as infinities.
+    sides are given as infinities, and are binned where the points end.
     """
     (first, (lo, hi)), *_ = axes.items()
-    usable = reduce(and_, [F.col(a) < F.col(b) for a, b in axes.values()])
-    width = F.col(hi).cast("double") - F.col(lo).cast("double")
-    finite = width < F.lit(float("inf"))
-    level = F.when(finite, F.ceil(F.log2(F.greatest(width, F.lit(1e-300)))).cast("int"))
+    number = lambda c: F.col(c).cast("double")
+    usable = reduce(and_, [(F.col(a) < F.col(b)) & ~F.isnan(number(a)) & ~F.isnan(number(b)) for a, b in axes.values()])
+    real = points.filter(F.col(first).isNotNull() & ~F.isnan(number(first)))
+    finite = F.when(F.abs(number(first)) < F.lit(float("inf")), number(first))
+    least, most = real.agg(F.min(finite), F.max(finite)).first()
+    least, most = (0.0, 0.0) if least is None else (least, most)
+    clamp = lambda c: F.greatest(F.lit(least), F.least(F.lit(most), number(c))) - F.lit(least)
+    # bins are no narrower than a millionth of the points' extent, so levels are few
+    width = F.greatest(clamp(hi) - clamp(lo), F.lit(max((most - least) * 2.0**-20, 1e-300)))
+    level = F.ceil(F.log2(width)).cast("int")
+    level = F.when(F.pow(F.lit(2.0), level) < width, level + 1).otherwise(level)
     leveled = boxes.filter(usable).withColumn("_level", level)
-    levels = [r[0] for r in leveled.select("_level").distinct().collect()]
-    some = sorted(x for x in levels if x is not None)
+    some = sorted(r[0] for r in leveled.select("_level").distinct().collect())
 
-    def bin_of(value: Column, at: Column | int) -> Column:
-        size = F.pow(F.lit(2.0), F.lit(at) if isinstance(at, int) else at)
-        return F.floor(value.cast("double") / size).cast("long")
+    def bin_of(c: str, at: Column | int) -> Column:
+        return F.floor(clamp(c) / F.pow(F.lit(2.0), F.lit(at) if isinstance(at, int) else at)).cast("long")
 
-    spread = leveled.filter("_level is not null").withColumn(
-        "_bin", F.explode(F.array_distinct(F.array(bin_of(F.col(lo), F.col("_level")), bin_of(F.col(hi), F.col("_level")))))
-    )
+    spread = leveled.withColumn("_bin", F.explode(F.array_distinct(F.array(bin_of(lo, F.col("_level")), bin_of(hi, F.col("_level"))))))
     inside = reduce(and_, [(F.col(p) >= F.col(a)) & (F.col(p) < F.col(b)) for p, (a, b) in axes.items()])
-    out = None
-    if some:
-        keys = F.array(*[F.struct(F.lit(x).alias("l"), bin_of(F.col(first), x).alias("b")) for x in some])
-        real = points.filter(F.col(first).isNotNull() & ~F.isnan(F.col(first).cast("double")))
-        exploded = real.withColumn("_k", F.explode(keys)).withColumns({"_pl": F.col("_k.l"), "_pb": F.col("_k.b")}).drop("_k")
-        hit = exploded.join(spread, (F.col("_pl") == F.col("_level")) & (F.col("_pb") == F.col("_bin")) & inside)
-        out = hit.drop("_pl", "_pb", "_level", "_bin")
-    if None in levels or out is None:
-        endless = points.join(leveled.filter("_level is null").drop("_level"), inside)
-        out = endless if out is None else out.unionByName(endless)
-    return out
+    keys = F.array(*[F.struct(F.lit(x).alias("l"), bin_of(first, x).alias("b")) for x in some]) if some else F.array().cast("array<struct<l:int,b:bigint>>")
+    exploded = real.withColumn("_k", F.explode(keys)).withColumns({"_pl": F.col("_k.l"), "_pb": F.col("_k.b")}).drop("_k")
+    hit = exploded.join(spread, (F.col("_pl") == F.col("_level")) & (F.col("_pb") == F.col("_bin")) & inside)
+    return hit.drop("_pl", "_pb", "_level", "_bin")

@@ -12,10 +12,13 @@ from pointlake.operators.rangeagg import RADIX_BITS, cover, last_index, prefix,
 
 
 def assign(array: DataFrame, changes: DataFrame) -> DataFrame:
-    """Values of ``changes`` (idx, val) replace the array's; the latest ``ver`` wins if there is one."""
-    if "ver" in changes.columns:
-        changes = changes.groupBy("idx").agg(F.max_by("val", "ver").alias("val"))
-    new = changes.select("idx", F.struct("val").alias("_new"))
+    """Values of ``changes`` (idx, val) replace the array's.
+
+    Of several changes of one index that with the greatest (ver, val) wins; without a
+    ``ver`` that with the greatest val, null being the least.
+    """
+    order = [c for c in ("ver", "val") if c in changes.columns]
+    new = changes.groupBy("idx").agg(F.max(F.struct(*order)).alias("_new"))
     return array.join(new, "idx", "left").select("idx", F.when(F.col("_new").isNotNull(), F.col("_new.val")).otherwise(F.col("val")).alias("val"))
 
 
@@ -48,7 +51,8 @@ def interval_combine(array: DataFrame, changes: DataFrame, monoid: Monoid, close
     """a[i] becomes the fold of its value and all deltas (lo, hi, delta) that cover i.
 
     Deltas stay pending on the blocks that make up their interval; every element then
-    looks up its blocks, one equi-join for each level in use.
+    looks up its blocks, one equi-join for each level in use. Levels of few blocks are
+    broadcast, so that their few keys gather no rows.
     """
     top = last_index(array)
     height = tree_height(top, radix_bits)
@@ -64,6 +68,8 @@ def interval_combine(array: DataFrame, changes: DataFrame, monoid: Monoid, close
     out = array.select(F.col("idx").cast("long").alias("idx"), "val")
     for level in range(height + 1):
         here = pending.filter(F.col("level") == level).select(F.col("block").alias("_block"), F.col("delta").alias("_delta"))
+        # the level's blocks are (top >> shift) + 1 at most
+        here = F.broadcast(here) if (top >> (radix_bits * level)) < 100_000 else here
         hit = out.join(here, F.shiftright(F.col("idx"), radix_bits * level) == F.col("_block"), "left")
         value = F.when(F.col("_delta").isNull(), F.col("val")).otherwise(monoid.merge(F.col("val"), F.col("_delta")))
         out = hit.select("idx", value.alias("val"))

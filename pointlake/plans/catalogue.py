@@ -15,7 +15,7 @@ from pointlake.functions import metrics, monoids
 from pointlake.operators import bag, extrema, neighbors, ranges, rangeagg, updates
 from pointlake.operators.model import Box, Interval, box_contains, box_disjoint, interval_contains, interval_disjoint
 from pointlake.sources import layout
-from pointlake.sources.tables import as_array, read
+from pointlake.sources.tables import as_array, empty_points, random_array, random_points, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -206,24 +206,12 @@ def knn_join(spark, sf_dir):
     return neighbors.knn_join(base.filter("vec_id % 20 = 0"), base, 5, "vec_id", "embedding", exclude_self=True, digits=6)
 
 
-@query(
-    """SELECT a.p_partkey AS id, b.p_partkey AS id_r, round(sqrt((a.p_size - b.p_size) * (a.p_size - b.p_size) + (a.p_retailprice - b.p_retailprice) * (a.p_retailprice - b.p_retailprice)), 6) AS distance
-    FROM part a JOIN part b ON sqrt((a.p_size - b.p_size) * (a.p_size - b.p_size) + (a.p_retailprice - b.p_retailprice) * (a.p_retailprice - b.p_retailprice)) <= 2.05
-    WHERE a.p_partkey % 5 = 0 AND b.p_partkey % 5 = 0 AND a.p_partkey < b.p_partkey"""
-)
-def radius_join(spark, sf_dir):
-    part = read(spark, sf_dir, "part").filter("p_partkey % 5 = 0").select(F.col("p_partkey").alias("id"), "p_size", "p_retailprice")
-    found = neighbors.within_distance(part, part, ["p_size", "p_retailprice"], 2.05).filter("id < id_r")
-    return found.select("id", "id_r", F.round("distance", 6).alias("distance"))
-
-
 @query(
     """SELECT a.p_partkey AS id, b.p_partkey AS id_r, round(sqrt((a.p_size - b.p_size) * (a.p_size - b.p_size) + (a.p_retailprice - b.p_retailprice) * (a.p_retailprice - b.p_retailprice)), 6) AS distance
     FROM part a JOIN part b ON sqrt((a.p_size - b.p_size) * (a.p_size - b.p_size) + (a.p_retailprice - b.p_retailprice) * (a.p_retailprice - b.p_retailprice)) <= 2.05
     WHERE a.p_partkey < b.p_partkey"""
 )
-def radius_join_whole(spark, sf_dir):
-    """``radius_join`` over all rows of part on both sides."""
+def radius_join(spark, sf_dir):
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_size", "p_retailprice")
     found = neighbors.within_distance(part, part, ["p_size", "p_retailprice"], 2.05).filter("id < id_r")
     return found.select("id", "id_r", F.round("distance", 6).alias("distance"))
@@ -284,30 +272,151 @@ def _part_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_size", F.round("p_retailprice").cast("long").alias("price"))
 
 
-@query("""SELECT a.id FROM (SELECT p_partkey AS id, p_size, CAST(round(p_retailprice) AS BIGINT) AS price FROM part WHERE p_partkey % 2 = 0) a
-    WHERE EXISTS (SELECT 1 FROM part b WHERE b.p_partkey % 2 = 1 AND b.p_size = a.p_size AND CAST(round(b.p_retailprice) AS BIGINT) = a.price)""")
+_LINES = "SELECT CAST(l_quantity AS INTEGER), l_linenumber, l_suppkey FROM lineitem"
+
+
+def _line_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All lines as points of three axes, and a point of each part to look for among them."""
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("int").alias("x"), F.col("l_linenumber").alias("y"), F.col("l_suppkey").alias("z"))
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("x"), (F.col("p_partkey") % 7 + 1).cast("int").alias("y"), (F.col("p_partkey") % 10).alias("z"))
+    return lines, parts
+
+
+@query(f"SELECT p_partkey AS id FROM part WHERE (p_size, CAST(p_partkey % 7 + 1 AS INTEGER), p_partkey % 10) IN ({_LINES})")
 def contains_batch(spark, sf_dir):
-    points = _part_points(spark, sf_dir)
-    return bag.contained(points.filter("id % 2 = 1"), points.filter("id % 2 = 0"), ["p_size", "price"]).select("id")
+    lines, parts = _line_points(spark, sf_dir)
+    return bag.contained(lines, parts, ["x", "y", "z"]).select("id")
 
 
-@query("""SELECT a.id FROM (SELECT p_partkey AS id, p_size, CAST(round(p_retailprice) AS BIGINT) AS price FROM part WHERE p_partkey % 2 = 0) a
-    WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_partkey % 2 = 1 AND b.p_size = a.p_size AND CAST(round(b.p_retailprice) AS BIGINT) = a.price)""")
+@query(f"SELECT p_partkey AS id FROM part WHERE (p_size, CAST(p_partkey % 7 + 1 AS INTEGER), p_partkey % 10) NOT IN ({_LINES})")
 def missing_batch(spark, sf_dir):
-    points = _part_points(spark, sf_dir)
-    return bag.not_contained(points.filter("id % 2 = 1"), points.filter("id % 2 = 0"), ["p_size", "price"]).select("id")
+    lines, parts = _line_points(spark, sf_dir)
+    return bag.not_contained(lines, parts, ["x", "y", "z"]).select("id")
 
 
-@query("SELECT p_size FROM part UNION ALL SELECT p_size FROM part WHERE p_partkey % 10 = 0")
-def insert(spark, sf_dir):
+@query("SELECT EXISTS (SELECT 1 FROM part WHERE p_size = 7) AS has_seven, EXISTS (SELECT 1 FROM part WHERE p_size = -1) AS has_none")
+def contains_point(spark, sf_dir):
     part = read(spark, sf_dir, "part")
-    return bag.insert(part.select("p_size"), part.filter("p_partkey % 10 = 0").select("p_size"))
+    return spark.createDataFrame([(bag.contains(part, {"p_size": 7}), bag.contains(part, {"p_size": -1}))], "has_seven boolean, has_none boolean")
+
 
+@query("SELECT p_size FROM part UNION ALL SELECT s_nationkey FROM supplier")
+def insert(spark, sf_dir):
+    return bag.insert(read(spark, sf_dir, "part").select("p_size"), read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("p_size")))
 
-@query("SELECT p_size FROM part EXCEPT ALL SELECT p_size FROM part WHERE p_partkey % 10 = 0")
+
+@query("SELECT l_suppkey FROM lineitem EXCEPT ALL SELECT s_suppkey FROM supplier")
 def remove_one(spark, sf_dir):
+    gone = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"))
+    return bag.remove(read(spark, sf_dir, "lineitem").select("l_suppkey"), gone)
+
+
+@query("SELECT count(*) AS n, count(*) > 0 AS any FROM part")
+def size_and_truth(spark, sf_dir):
+    return read(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) > 0).alias("any"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS min_x, CAST(NULL AS DOUBLE) AS max_x")
+def empty_source(spark, sf_dir):
+    none = empty_points(spark, ["x", "y"])
+    return extrema.bounds(none, ["x"]).select(F.lit(none.count()).alias("n"), "min_x", "max_x")
+
+
+@query("SELECT CAST(500 AS BIGINT) AS n, true AS inside, CAST(200 AS BIGINT) AS n_array")
+def generated_points(spark, sf_dir):
+    made = random_points(spark, 500, ["x", "y"], -3, 9, seed=5)
+    inside = F.expr("bool_and(x between -3 and 8 and y between -3 and 8)")
+    return made.agg(F.count(F.lit(1)).alias("n"), inside.alias("inside")).withColumn("n_array", F.lit(random_array(spark, 200, 0, 9).count()))
+
+
+@query("SELECT p_size >= 25 AS large, min(p_retailprice) AS min_p_retailprice, max(p_retailprice) AS max_p_retailprice FROM part GROUP BY 1")
+def region_bounds(spark, sf_dir):
+    return extrema.bounds(read(spark, sf_dir, "part").withColumn("large", F.col("p_size") >= 25), ["p_retailprice"], by=["large"])
+
+
+@query("SELECT p_retailprice AS median FROM part ORDER BY p_retailprice LIMIT 1 OFFSET (SELECT (count(*) - 1) // 2 FROM part)")
+def exact_median(spark, sf_dir):
+    return spark.createDataFrame([(extrema.median(read(spark, sf_dir, "part"), "p_retailprice", room=50),)], "median double")
+
+
+@query("SELECT p_partkey, p_size >= 10 AND p_size < 30 AND p_retailprice >= 920 AND p_retailprice < 950 AS inside FROM part")
+def point_in_box(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    return part.select("p_partkey", ranges.box_predicate(part, Box.of(p_size=(10, 30), p_retailprice=(920, 950))).alias("inside"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size < 20 THEN 'low' ELSE 'high' END AS side FROM part WHERE p_size >= 10 AND p_size < 30")
+def box_split(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    low, high = Box.of(p_size=(10, 30), p_retailprice=(None, None)).split("p_size", 20)
+    sides = [ranges.range_search(part, box).select("p_partkey", F.lit(side).alias("side")) for side, box in (("low", low), ("high", high))]
+    return sides[0].unionByName(sides[1])
+
+
+@query("SELECT p_partkey FROM part WHERE p_retailprice >= 905 AND p_retailprice < 960")
+def box_suffix(spark, sf_dir):
+    return ranges.range_search(read(spark, sf_dir, "part"), Box.of(p_size=(10, 30), p_retailprice=(905, 960)).suffix(1)).select("p_partkey")
+
+
+@query("SELECT count(*) AS seen FROM part")
+def rows_seen(spark, sf_dir):
+    rows, seen = neighbors.counted(read(spark, sf_dir, "part"))
+    neighbors.knn(rows, {"p_size": 25, "p_retailprice": 950}, 10, "p_partkey").collect()
+    return spark.createDataFrame([(seen.get["seen"],)], "seen long")
+
+
+@query("SELECT p_partkey, round(2 * abs(p_size - 25) + abs(p_retailprice - 950), 6) AS distance FROM part ORDER BY distance, p_partkey LIMIT 10")
+def knn_own_metric(spark, sf_dir):
+    weighed = lambda a, b: 2 * F.abs(F.get(a, F.lit(0)) - F.get(b, F.lit(0))) + F.abs(F.get(a, F.lit(1)) - F.get(b, F.lit(1)))
+    found = neighbors.knn(read(spark, sf_dir, "part"), {"p_size": 25, "p_retailprice": 950}, 10, "p_partkey", weighed, digits=6)
+    return found.select("p_partkey", "distance")
+
+
+@query("SELECT event_id, event_id & -event_id AS low FROM events")
+def lowest_bits(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", metrics.lowest_bit(F.col("event_id")).alias("low"))
+
+
+@query("SELECT event_id, value FROM events WHERE value >= 10 AND value < 50")
+def range_on_clusters(spark, sf_dir):
+    return ranges.range_search(layout.clustered(read(spark, sf_dir, "events"), "value", 8), Box.of(value=(10, 50))).select("event_id", "value")
+
+
+_HALVES = "SELECT quantile_disc(p_size, 0.5) AS m FROM part"
+
+
+@query(f"SELECT p_partkey, CASE WHEN p_size < m THEN 2 ELSE 3 END AS cell FROM part, ({_HALVES})")
+def median_cells(spark, sf_dir):
     part = read(spark, sf_dir, "part")
-    return bag.remove_strict(part.select("p_size"), part.filter("p_partkey % 10 = 0").select("p_size"))
+    return part.select("p_partkey", layout.median_splits(part, ["p_size"], 1, accuracy=1_000_000).cell_of().alias("cell"))
+
+
+@query(f"SELECT unnest(['p_size < ' || m, '  cell 2', '  cell 3']) AS line FROM ({_HALVES})")
+def split_dump(spark, sf_dir):
+    lines = layout.median_splits(read(spark, sf_dir, "part"), ["p_size"], 1, accuracy=1_000_000).lines()
+    return spark.createDataFrame([(line,) for line in lines], "line string")
+
+
+def _near_two(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
+    base = read(spark, sf_dir, "embeddings")
+    pivot = layout.PIVOTS[rule](base, "embedding")
+    two = [float(x) for x in base.filter("vec_id = 2").first().embedding]
+    gap = sum((a - b) ** 2 for a, b in zip(pivot, two, strict=True)) ** 0.5
+    near = layout.pivot_candidates(layout.with_pivot_distance(base, "embedding", pivot), gap, 1.3 + 1e-6)
+    return near.filter(metrics.vector("l2", F.col("embedding"), F.array(*map(F.lit, two))) <= 1.3).select("vec_id")
+
+
+_NEAR_TWO = "SELECT vec_id FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 2) q WHERE sqrt(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double)))) <= 1.3"
+
+
+@query(_NEAR_TWO)
+def radius_by_random_pivot(spark, sf_dir):
+    return _near_two(spark, sf_dir, "random")
+
+
+@query(_NEAR_TWO)
+def radius_by_spread_pivot(spark, sf_dir):
+    return _near_two(spark, sf_dir, "spread")
 
 
 # ---- folds
@@ -395,14 +504,20 @@ def ordered_fold(spark, sf_dir):
     return rangeagg.ordered_fold(digits, 20, 60, lambda acc, v: F.concat(acc, v), F.lit(""))
 
 
+@query(f"SELECT product(val % 3 + 1) AS fold FROM {_EV} WHERE idx >= 10 AND idx < 30")
+def product_fold(spark, sf_dir):
+    small = _events(spark, sf_dir).select("idx", (F.col("val") % 3 + 1).alias("val"))
+    return rangeagg.range_fold(small, monoids.PRODUCT, 10, 30)
+
+
 # ---- updates
 
-_CH = "(SELECT user_id AS idx, CAST(round(value * 100) AS BIGINT) AS val, event_id AS ver FROM events WHERE event_id % 10 = 0)"
+_CH = "(SELECT user_id AS idx, CAST(round(value * 100) AS BIGINT) AS val, event_id AS ver FROM events)"
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = read(spark, sf_dir, "events").filter("event_id % 10 = 0")
-    return some.select(F.col("user_id").alias("idx"), F.round(F.col("value") * 100).cast("long").alias("val"), F.col("event_id").alias("ver"))
+    cents = F.round(F.col("value") * 100).cast("long").alias("val")
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("idx"), cents, F.col("event_id").alias("ver"))
 
 
 @query(f"SELECT a.idx, CAST(a.val + coalesce(c.val, 0) AS BIGINT) AS val FROM {_EV} a LEFT JOIN (SELECT idx, sum(val) AS val FROM {_CH} GROUP BY idx) c USING (idx)")
@@ -415,24 +530,6 @@ def point_update_assign(spark, sf_dir):
     return updates.assign(_events(spark, sf_dir), _changes(spark, sf_dir))
 
 
-_CH_ALL = "(SELECT user_id AS idx, CAST(round(value * 100) AS BIGINT) AS val, event_id AS ver FROM events)"
-
-
-def _all_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cents = F.round(F.col("value") * 100).cast("long").alias("val")
-    return read(spark, sf_dir, "events").select(F.col("user_id").alias("idx"), cents, F.col("event_id").alias("ver"))
-
-
-@query(f"SELECT a.idx, CAST(a.val + coalesce(c.val, 0) AS BIGINT) AS val FROM {_EV} a LEFT JOIN (SELECT idx, sum(val) AS val FROM {_CH_ALL} GROUP BY idx) c USING (idx)")
-def point_update_combine_whole(spark, sf_dir):
-    return updates.combine(_events(spark, sf_dir), _all_changes(spark, sf_dir).select("idx", "val"), monoids.SUM)
-
-
-@query(f"SELECT a.idx, coalesce(c.val, a.val) AS val FROM {_EV} a LEFT JOIN (SELECT idx, arg_max(val, ver) AS val FROM {_CH_ALL} GROUP BY idx) c USING (idx)")
-def point_update_assign_whole(spark, sf_dir):
-    return updates.assign(_events(spark, sf_dir), _all_changes(spark, sf_dir))
-
-
 _IV = f"(SELECT qid, lo, hi, qid % 11 * 100 AS delta FROM {_Q})"
 
 
@@ -462,29 +559,15 @@ def range_after_interval_update(spark, sf_dir):
     return rangeagg.range_fold(updated, monoids.SUM, 50, 700, closed=True, clip=True)
 
 
-_LOG = "(SELECT event_id + 1 AS ver, event_id * 13 % 1000 AS idx, CAST(round(value * 100) AS BIGINT) + 5000 AS val FROM events WHERE event_id < 300)"
+_LOG = "(SELECT event_id + 1 AS ver, event_id * 13 % 1000 AS idx, CAST(round(value * 100) AS BIGINT) + 5000 AS val FROM events)"
 
 
 @query(
-    f"""SELECT CAST(t AS BIGINT) AS ver, max(val) AS fold FROM (SELECT unnest([0, 100, 300]) AS t) JOIN
+    f"""SELECT CAST(t AS BIGINT) AS ver, max(val) AS fold FROM (SELECT unnest([0, n // 2, n]) AS t FROM (SELECT max(event_id) + 1 AS n FROM events)) JOIN
     (SELECT 0 AS ver, idx, val FROM {_EV} UNION ALL SELECT * FROM {_LOG}) l ON l.ver <= t WHERE idx BETWEEN 100 AND 160 GROUP BY t"""
 )
 def versioned_range_max(spark, sf_dir):
-    log = read(spark, sf_dir, "events").filter("event_id < 300").select(
-        (F.col("event_id") + 1).alias("ver"), (F.col("event_id") * 13 % 1000).alias("idx"), (F.round(F.col("value") * 100).cast("long") + 5000).alias("val")
-    )
-    return updates.VersionedArray.of_log(_events(spark, sf_dir), monoids.MAX, log).folds([0, 100, 300], 100, 160)
-
-
-_LOG_ALL = "(SELECT event_id + 1 AS ver, event_id * 13 % 1000 AS idx, CAST(round(value * 100) AS BIGINT) + 5000 AS val FROM events)"
-
-
-@query(
-    f"""SELECT CAST(t AS BIGINT) AS ver, max(val) AS fold FROM (SELECT unnest([0, n // 2, n]) AS t FROM (SELECT max(event_id) + 1 AS n FROM events)) JOIN
-    (SELECT 0 AS ver, idx, val FROM {_EV} UNION ALL SELECT * FROM {_LOG_ALL}) l ON l.ver <= t WHERE idx BETWEEN 100 AND 160 GROUP BY t"""
-)
-def versioned_range_max_whole(spark, sf_dir):
-    """``versioned_range_max`` with all events as the log, at its start, middle and end."""
+    """All events are the log, read at its start, middle and end."""
     log = read(spark, sf_dir, "events").select(
         (F.col("event_id") + 1).alias("ver"), (F.col("event_id") * 13 % 1000).alias("idx"), (F.round(F.col("value") * 100).cast("long") + 5000).alias("val")
     )
@@ -492,6 +575,11 @@ def versioned_range_max_whole(spark, sf_dir):
     return updates.VersionedArray.of_log(_events(spark, sf_dir), monoids.MAX, log).folds([0, n // 2, n], 100, 160)
 
 
+@query(f"SELECT CAST(v AS BIGINT) AS ver, CAST(sum(val) AS BIGINT) + CASE v WHEN 0 THEN 0 WHEN 1 THEN 500 ELSE 420 END AS fold FROM {_EV}, (SELECT unnest([0, 1, 2]) AS v) WHERE idx BETWEEN 3 AND 90 GROUP BY v")
+def versions_by_update(spark, sf_dir):
+    return updates.VersionedArray(_events(spark, sf_dir), monoids.SUM).update(5, 500).update(7, -80).folds([0, 1, 2], 3, 90)
+
+
 # ---- layout and change logs
 
 @query("SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_size >= 10 AND p_size < 30 AND p_retailprice >= 905 AND p_retailprice < 960")
@@ -502,13 +590,12 @@ def range_on_z_order(spark, sf_dir):
 
 
 @query(
-    """WITH ops AS (SELECT p_size, 1 AS n FROM part UNION ALL SELECT p_size + 3, 1 FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT p_size, -1 FROM part WHERE p_partkey % 3 = 0)
+    """WITH ops AS (SELECT p_size, 1 AS n FROM part UNION ALL SELECT s_nationkey, 1 FROM supplier UNION ALL SELECT c_nationkey, -1 FROM customer)
     SELECT p_size, CAST(sum(n) AS BIGINT) AS n FROM ops GROUP BY p_size HAVING sum(n) > 0"""
 )
 def bag_after_log(spark, sf_dir):
     from pointlake.streaming.changes import apply_log
 
-    part = read(spark, sf_dir, "part")
-    log = part.filter("p_partkey % 4 = 0").select(F.lit("insert").alias("op"), (F.col("p_size") + 3).alias("p_size"))
-    log = log.unionByName(part.filter("p_partkey % 3 = 0").select(F.lit("remove").alias("op"), "p_size"))
-    return apply_log(part, log, ["p_size"]).groupBy("p_size").agg(F.count(F.lit(1)).alias("n"))
+    log = read(spark, sf_dir, "supplier").select(F.lit("insert").alias("op"), F.col("s_nationkey").alias("p_size"))
+    log = log.unionByName(read(spark, sf_dir, "customer").select(F.lit("remove").alias("op"), F.col("c_nationkey").alias("p_size")))
+    return apply_log(read(spark, sf_dir, "part"), log, ["p_size"]).groupBy("p_size").agg(F.count(F.lit(1)).alias("n"))

@@ -131,3 +131,15 @@ def farthest_pivot(df: DataFrame, vector: str, candidates: int = 10, seed: int =
         return sum((g - mean) ** 2 for g in gaps)
 
     return list(max(rows[:candidates], key=spread))
+
+
+def random_pivot(df: DataFrame, vector: str, seed: int = 0) -> list[float]:
+    """Any row's vector, by chance."""
+    rows = df.select(vector).orderBy(F.rand(seed)).limit(1).collect()
+    if not rows:
+        raise ValueError("no rows to choose a pivot from")
+    return [float(x) for x in rows[0][0]]
+
+
+#: Ways to choose a pivot, by name.
+PIVOTS = {"random": random_pivot, "spread": farthest_pivot}

@@ -23,7 +23,7 @@ def test_distance_join_compares_all_rows(spark):
     part = [(r.p_partkey, r.p_size, r.p_retailprice) for r in spark.read.parquet(f"{SF}/part.parquet").collect()]
     near = lambda a, b: ((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) ** 0.5 <= 2.05
     want = sorted((a[0], b[0]) for a in part for b in part if a[0] < b[0] and near(a, b))
-    assert sorted((r.id, r.id_r) for r in catalogue.queries()["radius_join_whole"](spark, SF).collect()) == want
+    assert sorted((r.id, r.id_r) for r in catalogue.queries()["radius_join"](spark, SF).collect()) == want
 
 
 def test_updates_take_all_events(spark):
@@ -31,7 +31,7 @@ def test_updates_take_all_events(spark):
     last = {}
     for i in sorted(events):
         last[events[i].user_id] = i
-    got = {r.idx: r.val for r in catalogue.queries()["point_update_assign_whole"](spark, SF).collect()}
+    got = {r.idx: r.val for r in catalogue.queries()["point_update_assign"](spark, SF).collect()}
     assert all(got[u] == round(events[i].value * 100) for u, i in last.items() if u in got)
-    versions = [r.ver for r in catalogue.queries()["versioned_range_max_whole"](spark, SF).collect()]
+    versions = [r.ver for r in catalogue.queries()["versioned_range_max"](spark, SF).collect()]
     assert sorted(versions) == [0, len(events) // 2, len(events)]

@@ -48,6 +48,14 @@ def test_null_and_nan_are_never_inside(spark):
     assert ids(ranges.slice_range(df, "x", None, 5)) == [1]
     assert ids(ranges.slice_range(df, "x")) == [1, 4]
     assert ids(ranges.batch_range_search(df, spark.createDataFrame([(0.0, 5.0), (2.0, float("inf")), (9.0, 1.0), (None, 2.0)], "lo double, hi double"), {"x": ("lo", "hi")})) == [1]
+    nan, inf = float("nan"), float("inf")
+    odd = spark.createDataFrame([(1, 0.0, nan), (2, nan, 5.0), (3, nan, nan), (4, -inf, -50.0), (5, -inf, inf), (6, 50.0, inf)], "q int, lo double, hi double")
+    rows = spark.createDataFrame([(1, 1.0), (2, nan), (3, -inf), (4, inf), (5, 60.0), (6, None)], "id int, x double")
+    found = ranges.batch_range_search(rows, odd, {"x": ("lo", "hi")})
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+    assert sorted((r.q, r.id) for r in found.collect()) == [(4, 3), (5, 1), (5, 3), (5, 5), (6, 5)]
+    whole = spark.createDataFrame([(1, 3)], "id int, y int")
+    assert ranges.batch_range_search(whole, odd.withColumnsRenamed({"lo": "a", "hi": "b"}), {"y": ("a", "b")}).select("q").collect()[0].q == 5
 
 
 def test_bad_boxes_and_slices(points):
@@ -137,6 +145,14 @@ def test_knn_join_blocks(points):
         for q in range(0, 165, 5):
             want = sorted((round(math.dist(p, cloud()[q]), 9), i) for i, p in enumerate(cloud()))[:4]
             assert [(r.distance, r.id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
+    by_hand = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    own = neighbors.knn_join(vectors.filter("id % 5 = 0"), vectors, 4, "id", "v", metric=by_hand, block_rows=9, base_rows=50).collect()
+    assert sorted((r.query_id, r.rank, r.id) for r in own) == sorted((r.query_id, r.rank, r.id) for r in got)
+    named = vectors.select(F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("id"), "v")
+    ragged = named.unionByName(named.limit(3).select(F.concat(F.lit("r"), "id").alias("id"), F.slice("v", 1, 2).alias("v")))
+    for block_rows in (1000, 7):
+        same = neighbors.knn_join(ragged, ragged, 2, "id", "v", block_rows=block_rows, base_rows=40, exclude_self=True).collect()
+        assert len(same) == 2 * 165 + 2 * 3 and all(r.id.startswith("r") == r.query_id.startswith("r") and r.id != r.query_id for r in same)
     assert neighbors.knn_join(vectors.limit(0), vectors, 4, "id", "v").count() == 0
     assert neighbors.knn_join(vectors, vectors.limit(0), 4, "id", "v").count() == 0
 
@@ -148,6 +164,38 @@ def test_radius_join(points):
     assert sorted((r.id, r.id_r) for r in got) == want
 
 
+def test_radius_join_of_an_own_metric(points):
+    rows = cloud()
+    city = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
+    got = neighbors.within_distance(points, points, AXES, 3.0, city).collect()
+    want = sorted((i, j) for i in range(len(rows)) for j in range(len(rows)) if distance("l1", rows[i], rows[j]) <= 3.0)
+    assert sorted((r.id, r.id_r) for r in got) == want
+
+
+def test_exact_median(spark, points):
+    rows = sorted(p[0] for p in cloud())
+    for room in (5, 1000):
+        assert extrema.median(points, "x", room) == rows[(len(rows) - 1) // 2]
+    assert extrema.median(points.limit(0), "x") is None
+    same = spark.range(5000).selectExpr("id % 3 as v")
+    assert extrema.median(same, "v", 10) == 1
+
+
+def test_ordered_folds_over_many_blocks(spark):
+    letters = tables.array(spark, [chr(97 + k % 26) for k in range(200)], "string").repartition(6)
+    whole = "".join(chr(97 + k % 26) for k in range(200))
+    for start, stop in ((0, 200), (13, 154), (5, 5), (0, 1)):
+        got = rangeagg.ordered_fold(letters, start, stop, lambda acc, v: F.concat(acc, v), F.lit(""), bits=3).first()[0]
+        assert got == whole[start:stop]
+
+
+def test_repeated_assignments_have_one_winner(spark):
+    array = tables.array(spark, [1, 2, 3])
+    ties = spark.createDataFrame([(0, 5, 1), (0, 7, 1), (1, 4, 2), (1, 9, 1)], "idx long, val long, ver long")
+    assert sorted(map(tuple, updates.assign(array, ties).collect())) == [(0, 7), (1, 4), (2, 3)]
+    assert sorted(map(tuple, updates.assign(array, ties.drop("ver")).collect())) == [(0, 7), (1, 9), (2, 3)]
+
+
 def test_extrema_and_bag(spark, points):
     rows = cloud()
     b = extrema.bounds(points, AXES).first()
