@@ -9,10 +9,15 @@ over the text.
 
 The tokenizer file's bytes are read by the driver and broadcast (a vocabulary's
 size does not follow the corpus). Normalising and splitting into words use the
-file's own settings.
-
-Edge cases: null text counts as empty; empty text or white space alone gives no
-ids and an empty decoded string. Repeated rows and extra columns pass through.
+file's own settings: a file whose settings are ``_WORD_SETTINGS`` is split at white
+space and cached by chunk, any other goes whole texts through the file's own
+normaliser and splitter. Settings that the dynamic programme does not cover
+(dropout, unknown tokens, added tokens that strip or are normalised) raise ValueError.
+
+Edge cases: null text counts as empty; empty text gives no ids and an empty decoded
+string, and so does white space alone where the file drops it. Very long texts and
+words are encoded whole, in memory in proportion to them. Extra columns are ignored;
+repeated rows keep their own result row. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,6 +47,38 @@ _PLAIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _PLAIN_BELOW = "\u0250"
 
 
+#: The settings for which the short cuts of ``encode`` and ``_pieces`` hold.
+_WORD_SETTINGS = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+_MODEL_SWITCHES = ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")
+_TOKEN_SWITCHES = ("single_word", "lstrip", "rstrip", "normalized")
+
+
+def _require_covered(parsed: dict) -> None:
+    """ValueError for a file that the dynamic programme would encode otherwise than the library."""
+    model = parsed["model"]
+    if model.get("type") != "BPE":
+        raise ValueError(f"a BPE model is needed, not {model.get('type')!r}")
+    for name in _MODEL_SWITCHES:
+        if model.get(name):
+            raise ValueError(f"model setting {name}={model[name]!r} is not covered")
+    for token in parsed["added_tokens"]:
+        for name in _TOKEN_SWITCHES:
+            if token.get(name):
+                raise ValueError(f"added token {token['content']!r} with {name} is not covered")
+
+
 def _byte_letters() -> dict[int, str]:
     """Byte-level BPE's letter for each byte, keyed by the byte's Latin-1 code point."""
     shown = [b for b in range(256) if chr(b).isprintable() and chr(b) != " "]
@@ -57,10 +94,16 @@ class BpeModel:
 
     def __init__(self, spec: bytes):
         self.tokenizer = Tokenizer.from_str(spec.decode())
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         parsed = json.loads(spec)
+        _require_covered(parsed)
         model = parsed["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in parsed["added_tokens"]}
+        #: Whether words end at white space, so that texts may be taken apart there.
+        self.word_wise = all(parsed.get(k) == v for k, v in _WORD_SETTINGS.items()) and all(t.startswith("<|") and not _SPACES.search(t) for t in self.special)
+        self.own_decoder = parsed.get("decoder") is not None
         self.text_of = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         self.ids = model["vocab"]
         pairs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
@@ -78,10 +121,13 @@ class BpeModel:
         self._whole: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for text, token in self.ids.items():
-            key = text.removesuffix(self.suffix) + END if self.suffix and text.endswith(self.suffix) else text
-            self.automaton.add_word(key, (len(key), token))
+            ends = bool(self.suffix) and text.endswith(self.suffix)
+            plain = text.removesuffix(self.suffix) if ends else text
+            if len(plain) == 1 or token in self.parts:
+                key = plain + END if ends else plain
+                self.automaton.add_word(key, (len(key), token))
         self.automaton.make_automaton()
-        self._special_split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self._special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, tuple[int, ...]] = {}
 
@@ -155,15 +201,18 @@ class BpeModel:
         return tuple(out[::-1])
 
     def _pieces(self, chunk: str) -> list[str]:
-        if chunk.isprintable() and max(chunk) < _PLAIN_BELOW:
+        if self.word_wise and chunk.isprintable() and max(chunk) < _PLAIN_BELOW:
             words = _PLAIN.findall(chunk.lower())
             return words if chunk.isascii() else [w.encode().decode("latin-1").translate(_LETTERS) for w in words]
         normal = self.tokenizer.normalizer.normalize_str(chunk) if self.tokenizer.normalizer else chunk
+        if not self.tokenizer.pre_tokenizer:
+            return [normal] if normal else []
         return [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
 
     def encode_chunk(self, chunk: str, room: int = 100_000) -> tuple[int, ...]:
-        """Ids of a run of text without white space."""
-        spans = self._special_split.split(chunk) if self._special_split and "<|" in chunk else [chunk]
+        """Ids of a run of text that is encoded without regard to its neighbours."""
+        split = self._special_split and (not self.word_wise or "<|" in chunk)
+        spans = self._special_split.split(chunk) if split else [chunk]
         out: list[int] = []
         for span in spans:
             if span in self.special:
@@ -180,6 +229,8 @@ class BpeModel:
 
     def encode(self, text: str, room: int = 100_000) -> list[int]:
         """Ids of a whole text. Words seen before in this process come from bounded caches."""
+        if not self.word_wise:
+            return list(self.encode_chunk(text, room))
         split = _SPACES.split(text) if _SEPARATORS.search(text) else text.split()
         known, out = self.chunks, []
         for chunk in split:
@@ -194,7 +245,9 @@ class BpeModel:
         return list(chain.from_iterable(out))
 
     def decode(self, ids: list[int]) -> str:
-        """The file names no decoder, so the tokens' texts joined by spaces."""
+        """By the file's decoder; without one, the tokens' texts joined by spaces."""
+        if self.own_decoder:
+            return self.tokenizer.decode(ids, skip_special_tokens=False)
         return " ".join(map(self.text_of.__getitem__, ids))
 
 

@@ -1,3 +1,4 @@
+import json
 import random
 
 import public_tokenizers
@@ -57,6 +58,47 @@ def test_every_latin_character(model, library):
         assert model.encode(text) == library.encode(text, add_special_tokens=False).ids, hex(ord(c))
 
 
+def test_another_file_goes_its_own_way():
+    """Byte-level BPE that keeps case and white space: none of the word file's short cuts hold."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model, library = bpe.load(open(path, "rb").read()), Tokenizer.from_file(path)
+    assert not model.word_wise
+    rng = random.Random(4)
+    texts = HARD + ["  two  spaces\n\n\tTab ", "a <|endoftext|> b<|endoftext|>", "CamelCase  É1234"]
+    texts += ["".join(rng.choice("abcDE é漢\n  '1.") for _ in range(rng.randrange(80))) for _ in range(500)]
+    for text in texts:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert model.encode(text) == ids, text
+        assert model.decode(ids) == library.decode(ids, skip_special_tokens=False)
+
+
+def _edited(change):
+    parsed = json.loads(open(PATH, "rb").read())
+    change(parsed)
+    return json.dumps(parsed).encode()
+
+
+def test_changed_settings_lose_the_short_cuts():
+    spec = _edited(lambda p: p["normalizer"]["normalizers"].pop())
+    model, library = bpe.BpeModel(spec), Tokenizer.from_str(spec.decode())
+    assert not model.word_wise
+    for text in HARD:
+        assert model.encode(text) == library.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        lambda p: p["model"].update(dropout=0.1),
+        lambda p: p["model"].update(ignore_merges=True),
+        lambda p: p["added_tokens"][0].update(lstrip=True),
+    ],
+)
+def test_settings_not_covered_raise(change):
+    with pytest.raises(ValueError, match="not covered"):
+        bpe.BpeModel(_edited(change))
+
+
 def test_query_rows(spark, library):
     import hashlib
 
