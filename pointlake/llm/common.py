@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
@@ -42,6 +43,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that were cut off.
+
+    It does so once the driver's JVM has collected them, which a quiet heap puts off for long.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def bounded(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
     """``df``, marked for broadcast only if its known number of (narrow) rows is within ``limit``."""
     return F.broadcast(df) if rows <= limit else df

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointlake.llm.common import arrow_map, as_bytes, bounded, cut, join_rows, table, text_key
+from pointlake.llm.common import arrow_map, as_bytes, bounded, cut, join_rows, release, table, text_key
 from pointlake.llm.graph import connected_components
 
 BITS = 64
@@ -387,13 +387,36 @@ def _short_pairs(bucket: np.ndarray, prints: np.ndarray, n: np.ndarray, at: np.n
         yield x[close], y[close]
 
 
-def _meetings(least: float, short: int = 64):
-    """mapInArrow body over rows (bucket, node, n, at, comp, sketch) sorted by bucket: pairs that may be similar."""
+def nearest_pairs(x: np.ndarray, y: np.ndarray, apart: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which pairs are the closest of the group of either side; ``group`` is by position, ties go to the least (x, y)."""
+    order = np.lexsort((y, x, apart))
+    best = np.full(int(group.max()) + 1, len(order))
+    for side in (x, y):
+        np.minimum.at(best, group[side[order]], np.arange(len(order)))
+    return order[np.unique(best[best < len(order)])]
+
+
+def _meetings(least: float, nearest: bool, short: int = 64):
+    """mapInArrow body over rows (bucket, node, n, at, comp, sketch) sorted by bucket: pairs that may be similar.
+
+    With ``nearest``, of a bucket only each component's pair of least sketch distance.
+    """
 
     def pairs_of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held)
         bucket, node, n, at, comp = (rows.column(c).to_numpy() for c in ("bucket", "node", "n", "at", "comp"))
         prints = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
+        _, group = np.unique(np.stack([bucket, comp], 1), axis=0, return_inverse=True)
+
+        def links(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            x, y = (np.concatenate(side) for side in zip(*found, strict=True))
+            if nearest and len(x):
+                apart = np.bitwise_count(prints[x] ^ prints[y]).sum(1, dtype=np.int32)
+                kept = nearest_pairs(x, y, apart / (n[x] + n[y]), group.ravel())
+                x, y = x[kept], y[kept]
+            both = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+
         first = np.nonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))[0]
         size = np.diff(np.append(first, len(bucket)))
         small = np.nonzero(np.repeat(size <= short, size))[0]
@@ -402,15 +425,10 @@ def _meetings(least: float, short: int = 64):
             own = start + np.argsort(np.bitwise_count(prints[start : start + many]).sum(1), kind="stable")
             found += [(own[x], own[y]) for x, y in near_pairs(prints[own], n[own], at[own], comp[own], least)]
             if sum(len(x) for x, _ in found) > 500_000:
-                yield links(node, found)
+                yield links(found)
                 found = []
         if found:
-            yield links(node, found)
-
-    def links(node: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        x, y = (node[np.concatenate(side)] for side in zip(*found, strict=True))
-        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+            yield links(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -498,11 +516,13 @@ def near_duplicate_texts(
     least ``similarity``; equal texts always do. ``key`` is the text's 128-bit key;
     (component_id, component_key) is the least such pair of the component, null ids last.
 
-    Candidates come from three sources, in two rounds. First the tiled comparison of
+    Candidates come from three sources, in three rounds. First the tiled comparison of
     fingerprints at ``radius``, and for each shingle of the texts' prefixes the text with
-    the least node that has it: what these links verify makes components. Then all pairs
-    of different components that share a prefix shingle, which hold every similar pair
-    that is left: they are compared by sketches in tiles, and the close ones verified. The
+    the least node that has it: what these links verify makes components. Then texts of
+    different components that share a prefix shingle are compared by sketches in tiles:
+    first only each component's nearest pair of a shingle is verified, which joins groups
+    whose copies are alike by chains, then all close pairs of what are still different
+    components, which hold every similar pair that is left. The
     texts of a shared shingle are split into as many pieces as the square root of their
     number over ``piece``, and every pair of pieces is work of its own.
     """
@@ -526,23 +546,26 @@ def near_duplicate_texts(
     led = met.filter("node <> leader").join(lead, "h").filter(after >= (F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-6)
     found = near.toDF("a", "b").unionAll(same).unionAll(led.select("node", "leader")).filter("a <> b")
     first = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    release(docs.sparkSession)
     known = texts.select("node", "id", "key", "n", "mark")
     stars = connected_components(verified(first, known, slim, words, similarity))
 
-    slot = met.select("h", "texts", "node", "n", "at").join(stars, "node", "left").withColumn("comp", F.coalesce("root", "node"))
-    mixed = slot.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("h")
-    slot = slot.join(mixed, "h").join(texts.select("node", "sketch"), "node")
     pieces = F.ceil(F.sqrt(F.col("texts") / F.lit(piece))).cast("long")
     mine = F.pmod(F.xxhash64("node"), F.col("pieces"))
-    dealt = slot.withColumn("pieces", pieces).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
-    bucket = F.xxhash64("h", F.least("mine", "other"), F.greatest("mine", "other"))
-    rows = dealt.select(bucket.alias("bucket"), "node", "n", "at", "comp", "sketch")
-    second = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meetings(similarity), "a long, b long")
-    missed = verified(cut(second.distinct()), known, slim, words, similarity)
-    final = connected_components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(missed))
+    for nearest in (True, False):
+        slot = met.select("h", "texts", "node", "n", "at").join(stars, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+        mixed = slot.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("h")
+        slot = slot.join(mixed, "h").join(texts.select("node", "sketch"), "node")
+        dealt = slot.withColumn("pieces", pieces).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+        bucket = F.xxhash64("h", F.least("mine", "other"), F.greatest("mine", "other"))
+        rows = dealt.select(bucket.alias("bucket"), "node", "n", "at", "comp", "sketch")
+        met_now = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meetings(similarity, nearest), "a long, b long")
+        more = verified(cut(met_now.distinct()), known, slim, words, similarity)
+        stars = connected_components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
+        release(docs.sparkSession)
 
     owner = F.struct(F.col("id").isNull().alias("none"), "id", "key")
-    member = texts.select("node", owner.alias("own")).join(final, "node")
+    member = texts.select("node", owner.alias("own")).join(stars, "node")
     least = member.groupBy("root").agg(F.min("own").alias("least"))
     by_node = member.join(least, "root").select("node", "least")
     by_text = texts.select("node", "key", "rows", owner.alias("own")).join(by_node, "node", "left")
