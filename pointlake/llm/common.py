@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -86,6 +87,24 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Return freed memory to the machine; a reused Python worker would keep it through all later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, a mapInArrow body, giving back its memory at the end of each task."""
+
+    def thrifty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return thrifty
+
+
 def arrow_map(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
@@ -103,5 +122,6 @@ def arrow_map(
         for batch in batches:
             for at in range(0, batch.num_rows, slice_rows):
                 yield step(batch.slice(at, slice_rows))
+            give_back()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run), schema)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointlake.llm.common import arrow_map, as_bytes, bounded, cut, join_rows, release, table, text_key
+from pointlake.llm.common import arrow_map, as_bytes, bounded, cut, frugal, join_rows, release, table, text_key
 from pointlake.llm.graph import connected_components
 
 BITS = 64
@@ -207,7 +207,7 @@ def link_edges(prints: DataFrame, radius: int = 3, bands: int | None = None, fli
     else:
         spread = dealt.select(F.xxhash64("value").alias("bucket"), "fp")
     sorted_rows = spread.repartition("bucket").sortWithinPartitions("bucket", F.bit_count("fp"))
-    return sorted_rows.mapInArrow(_bucket_edges(radius), "a long, b long")
+    return sorted_rows.mapInArrow(frugal(_bucket_edges(radius)), "a long, b long")
 
 
 def near_duplicates(
@@ -488,7 +488,7 @@ def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, words: int, le
     left = own.select(F.col("node").alias("a"), "n", F.col("mark").alias("left"))
     right = own.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("mark").alias("right"))
     marked = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "left", "right")
-    pairs = cut(marked.mapInArrow(_close_sketches(least), "a long, b long"))
+    pairs = cut(marked.mapInArrow(frugal(_close_sketches(least)), "a long, b long"))
     nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     wanted = texts.join(nodes, "node", "left_semi").select("node", F.col("id").alias("own_id"), F.col("key").alias("own_key"))
     met = docs.join(bounded(wanted, nodes.count()), (F.col("key") == F.col("own_key")) & F.col("id").eqNullSafe(F.col("own_id")))
@@ -559,7 +559,7 @@ def near_duplicate_texts(
         dealt = slot.withColumn("pieces", pieces).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
         bucket = F.xxhash64("h", F.least("mine", "other"), F.greatest("mine", "other"))
         rows = dealt.select(bucket.alias("bucket"), "node", "n", "at", "comp", "sketch")
-        met_now = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meetings(similarity, nearest), "a long, b long")
+        met_now = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(frugal(_meetings(similarity, nearest)), "a long, b long")
         more = verified(cut(met_now.distinct()), known, slim, words, similarity)
         stars = connected_components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
         release(docs.sparkSession)
