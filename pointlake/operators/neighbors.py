@@ -190,6 +190,8 @@ def within_distance(left: DataFrame, right: DataFrame, axes: list[str], radius:
     cells of side ``radius`` on the first two axes; a right row goes to its own and the
     adjacent cells, so candidates meet by an equi-join. For an own metric, which must keep
     the triangle inequality, cells are cut along the distance to one left row instead.
+    Both sides are shuffled and sorted: Spark guesses the right one's size from the table's,
+    without its copies for adjacent cells, and would take it to the driver for a broadcast.
     """
     if radius <= 0:
         raise ValueError("radius must be positive")
@@ -208,5 +210,5 @@ def within_distance(left: DataFrame, right: DataFrame, axes: list[str], radius:
         )
     meet = [F.col(f"_c{n}") == F.col(f"_d{n}") for n in range(len(cut))]
     distance = metrics.wide(metric, [F.col(a) for a in axes], [F.col(f"{a}_r") for a in axes])
-    joined = left.join(named, meet).withColumn("distance", distance).filter(F.col("distance") <= radius)
+    joined = left.join(named.hint("merge"), meet).withColumn("distance", distance).filter(F.col("distance") <= radius)
     return joined.select(*columns, *[f"{c}_r" for c in right.columns if c != "_pivot"], "distance")

@@ -26,6 +26,12 @@ def test_distance_join_compares_all_rows(spark):
     assert sorted((r.id, r.id_r) for r in catalogue.queries()["radius_join"](spark, SF).collect()) == want
 
 
+def test_distance_join_takes_no_table_to_the_driver(spark):
+    found = catalogue.queries()["radius_join"](spark, SF)
+    assert found.count() > 0
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_updates_take_all_events(spark):
     events = {r.event_id: r for r in spark.read.parquet(f"{SF}/events.parquet").collect()}
     last = {}
