@@ -15,6 +15,9 @@ but the last return the columns of ``documents``. Which rows go:
 Rows with a null doc_id are documents like any other; in ``near_dedup`` they come
 after all ids. Rows of one id with different texts are different documents. Empty
 tables pass through all stages; very long texts are worked on whole.
+
+All stages run in the same executors, so each after the first begins by giving back
+the memory that those before it have left unused there.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointlake.llm import bpe, decontam, langid, pii, simhash
-from pointlake.llm.common import ensure_checkpoint_dir, table
+from pointlake.llm.common import ensure_checkpoint_dir, release, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -35,20 +38,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return simhash.one_of_each(docs.select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return decontam.without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def remove_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return pii.sanitise(docs.select(*COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    release(spark)
     encoded = bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 

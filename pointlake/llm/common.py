@@ -45,12 +45,18 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans that were cut off.
+    """Let go of what plans that were cut off have left.
 
-    It does so once the driver's JVM has collected them, which a quiet heap puts off for long.
+    Spark's cleaner deletes their shuffle files once the driver's JVM has collected them,
+    which a quiet heap puts off for long. Executors keep a heap at the size that the heaviest
+    plan so far made it, beside which Python workers find no room; a full collection in each,
+    run by one short task for each core, gives the free part back to the machine.
     """
     gc.collect()
     spark._jvm.System.gc()
+    cores = spark.sparkContext.defaultParallelism
+    collect = F.reflect(F.lit("java.lang.System"), F.lit("gc"))
+    spark.range(0, cores, 1, cores).select(collect).write.format("noop").mode("overwrite").save()
 
 
 def bounded(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:

@@ -85,3 +85,21 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_begin_with_executors_giving_memory_back(spark, tmp_path):
+    make(tmp_path, spark)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
+    sc = spark.sparkContext
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    collections = lambda: sum(b.getCollectionCount() for b in beans())
+    sc.setJobGroup("encode", "")
+    try:
+        before = collections()
+        corpus_pipeline.encode(spark, docs, str(tmp_path))
+        assert collections() > before
+        jobs = sc.statusTracker().getJobIdsForGroup("encode")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    stages = [sc.statusTracker().getStageInfo(s) for j in jobs for s in sc.statusTracker().getJobInfo(j).stageIds]
+    assert [s.numTasks for s in stages] == [sc.defaultParallelism]
